@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, quality, sharding, tokens, toxicity, urls
+from . import decontaminate, licenses, lines, ngrams, quality, sharding, tokens, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngrams.query,
         "op2_license_scan": licenses.query,
         "op3_decontaminate": decontaminate.query,
         "op4_quality_rules": quality.query,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": ngrams.ORACLE,
         "op2_license_scan": licenses.ORACLE,
         "op3_decontaminate": decontaminate.ORACLE,
         "op4_quality_rules": quality.ORACLE,
