@@ -11,11 +11,12 @@ neighbourhood). A set meets others in its own band and, if they may be larger, i
 sets that share each filed hash is known for the whole corpus, a set drops its most shared ones
 as far as the guarantee allows; leaving-one-out variants count double and let it drop more.
 
-*No all pairs.* Equal sets are one set from the start. Within the sets that share a hash, each
-is first verified against one leader, the one that shares most. What is linked then is one
-component, and only sets of different components that share a hash are compared further, until
-none are left. So the components are those of all links, while a group of n near copies costs
-about n comparisons.
+*No all pairs.* Equal sets are one set from the start. Each set is first verified against one
+leader, which it shares most hashes with. What is linked then is one component, and only sets
+of different components are compared further. In a large family of half-like sets these would
+still be nearly all pairs; families are compared block by block, and only links that join two
+components come out. So the components are those of all links, and no pair of a group of near
+copies becomes a row.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ MARGIN = 6.0
 #: Share by which the filled segments of the largest size exceed what is needed, so that sets
 #: can drop what many others share.
 SPARE = 0.15
-#: Leaders that a set is verified against before the components that still meet are compared in full.
-LEADER_ROUNDS = 2
+#: Similarity to its leader from which a set is of the leader's family, the size from which a
+#: family is compared in blocks, and the shingles of a block.
+FAMILY, CROWD, BLOCK = (2, 5), 64, 1 << 18
 _MEMBER, _DELETED, _VISITOR, _SHORT = 1, 2, 4, 8
 
 _U = np.uint64
@@ -215,7 +217,7 @@ def _allocated(shared: DataFrame) -> DataFrame:
     double = (plain < 0) | (cost(more, True) < cost(plain, False))
     rows = rows.withColumn("double", double).withColumn("most", F.when(F.col("double"), F.greatest(more, F.lit(0))).otherwise(plain))
     active = F.when(F.col("deleted"), F.col("double")).otherwise(F.col("rank") > F.col("most"))
-    weight = F.sum("met").over(Window.partitionBy("sid"))
+    weight = F.avg("met").over(Window.partitionBy("sid"))
     return rows.select("key", "sid", "n", "band", "deleted", "visitor", active.alias("active"), weight.alias("weight"))
 
 
@@ -224,13 +226,21 @@ def _fits(a, b):
     return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of set ids, those whose sets reach the similarity, exactly."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of set ids with ``both`` and ``either``, the sizes of intersection and union."""
     one = sets.select(F.col("sid").alias("a"), F.col("s").alias("sa"))
     other = sets.select(F.col("sid").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(one, "a").join(other, "b")
-    return joined.where(DEN * both >= NUM * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    joined = pairs.join(one, "a").join(other, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+    return joined.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
+
+
+_REACHED = f"{DEN} * both >= {NUM} * either"
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of set ids, those whose sets reach the similarity, exactly."""
+    return _compared(pairs, sets).where(_REACHED).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,40 +262,93 @@ def components(edges: DataFrame) -> DataFrame:
 def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of rows that may count: one of them owns the band, not both leave a shingle out,
     the smaller set (or of equal ones either) counts the segment, and the sizes fit."""
-    names = ["sid", "n", "deleted", "visitor", "active"]
+    names = ["sid", "n", "deleted", "visitor", "active", "comp"]
     a = left.select(*on, *(F.col(c).alias(f"{c}_a") for c in names))
     b = right.select(*on, *(F.col(c).alias(f"{c}_b") for c in names))
     lesser = F.when(F.col("n_a") < F.col("n_b"), F.col("active_a")).when(F.col("n_a") > F.col("n_b"), F.col("active_b")).otherwise(F.col("active_a") | F.col("active_b"))
-    ok = ~(F.col("visitor_a") & F.col("visitor_b")) & ~(F.col("deleted_a") & F.col("deleted_b")) & lesser
+    ok = (F.col("comp_a") != F.col("comp_b")) & ~(F.col("visitor_a") & F.col("visitor_b")) & ~(F.col("deleted_a") & F.col("deleted_b")) & lesser
     return a.join(b, on).where(ok & _fits(F.col("n_a"), F.col("n_b")))
 
 
-def _with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("comp", F.col("sid"))
-    return rows.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+def _led(rows: DataFrame) -> DataFrame:
+    """(a, b): each set and the leader that it shares most keys with. The leader of a key is the
+    set whose keys are shared by most on average."""
+    lead = F.max(F.when(~F.col("deleted"), F.struct("weight", "sid", "n"))).over(Window.partitionBy("key"))
+    now = rows.withColumn("lead", lead).where((F.col("lead.sid") != F.col("sid")) & _fits(F.col("n"), F.col("lead.n")))
+    now = now.groupBy(F.col("sid").alias("a"), F.col("lead.sid").alias("b")).agg(F.count("*").alias("c"))
+    return now.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+
+
+def _within(family: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside large families, those that join two components and no others. A family is
+    cut into blocks of about ``BLOCK`` shingles and each pair of blocks compared in one task, so
+    that pairs never become rows."""
+    sized = family.join(sets, "sid").select("family", "sid", "s").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    blocks = sized.groupBy("family").agg(F.ceil(F.sum(F.size("s")) / BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "s")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+        part = part.sort_values("sid")
+        ids, own, sets = part["sid"].to_numpy(), part["own"].to_numpy(), list(part["s"])
+        sizes = np.array([len(x) for x in sets])
+        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        at = np.r_[0, np.cumsum(sizes)]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        comp = part["comp"].to_numpy()
+        right = np.flatnonzero(own == j)
+        where = np.concatenate([np.arange(at[k], at[k + 1]) for k in right]) if len(right) else np.zeros(0, dtype=int)
+        starts = np.r_[0, np.cumsum(sizes[right])][:-1]
+        mark = np.zeros(token.max() + 1, dtype=np.int32)
+        found = []
+        for k in np.flatnonzero(own == i) if len(right) else ():
+            mark[token[at[k] : at[k + 1]]] = 1
+            both = np.add.reduceat(mark[token[where]], starts)
+            mark[token[at[k] : at[k + 1]]] = 0
+            for x in np.flatnonzero(DEN * both >= NUM * (sizes[k] + sizes[right] - both)):
+                a, b = top(int(comp[k])), top(int(comp[right[x]]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(ids[k]), int(ids[right[x]])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("family", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all links among sets that share a key."""
-    found = None
-    labels = None
-    for step in range(LEADER_ROUNDS):
-        now = _with_components(rows, labels)
-        by_key = Window.partitionBy("key")
-        lead = F.max(F.when(~F.col("deleted"), F.struct("weight", "sid", "n", "comp"))).over(by_key)
-        now = now.withColumn("lead", lead).where((F.col("lead.sid") != F.col("sid")) & (F.col("lead.comp") != F.col("comp")))
-        now = now.where(_fits(F.col("n"), F.col("lead.n"))).groupBy("sid", F.col("lead.sid").alias("b")).agg(F.count("*").alias("c"))
-        pairs = now.groupBy(F.col("sid").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        edges = stash(verified(pairs, sets), "join-links")
-        found = edges if found is None else found.unionByName(edges)
-        labels = components(found)
-    now = stash(_with_components(rows, labels).drop("weight"), "join-rows")
-    groups = now.select("key", "comp").distinct()
-    meets = groups.select("key", F.col("comp").alias("ca")).join(groups.select("key", F.col("comp").alias("cb")), "key").where("ca < cb")
-    left = now.withColumnRenamed("comp", "ca").join(meets, ["key", "ca"])
-    right = now.withColumnRenamed("comp", "cb")
-    rest = _pairs(left, right, ["key", "cb"]).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
+    """Edges (a, b) whose components are those of all links among sets that share a key.
+
+    First each set meets its leader. Sets half-like one leader are its family; in a family of
+    ``CROWD`` or more, where nearly all share keys, blocks are compared. All other sets of
+    different components are compared if an active key is theirs."""
+    led = stash(_compared(_led(rows), sets), "join-led")
+    found = led.where(_REACHED).select("a", "b")
+    labels = components(found)
+    kin = led.where(f"{FAMILY[1]} * both >= {FAMILY[0]} * either").select(F.col("a").alias("sid"), F.col("b").alias("family"))
+    # A leader may have a leader itself: it is of the larger family then, and a family of its own.
+    large = kin.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD)
+    kin = kin.join(large.select("family"), "family").union(large.select("family", F.col("family").alias("sid")))
+    kin = stash(kin.distinct(), "join-families")
+    found = found.unionByName(stash(_within(kin, labels, sets), "join-links"))
+    labels = components(found)
+    now = rows.drop("weight").join(kin.groupBy("sid").agg(F.min("family").alias("family")), "sid", "left")
+    now = now.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    # What has one unit is one component or a family that is done.
+    now = stash(now.withColumn("unit", F.coalesce("family", "comp")).drop("family"), "join-rows")
+    groups = now.select("key", "unit").distinct()
+    meets = groups.select("key", F.col("unit").alias("ua")).join(groups.select("key", F.col("unit").alias("ub")), "key").where("ua < ub")
+    left = now.withColumnRenamed("unit", "ua").join(meets, ["key", "ua"])
+    right = now.withColumnRenamed("unit", "ub")
+    rest = _pairs(left, right, ["key", "ub"]).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
     return stash(found.unionByName(verified(stash(rest, "join-rest"), sets)), "join-links")
 
 
@@ -344,7 +407,7 @@ def filed_short(shared: DataFrame) -> DataFrame:
 def _short_links(docs: DataFrame, members: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
     """Links of such sets: a second pass in which every shingle is a segment of its own."""
     rows = _shared(filed(docs, text, key, everything=True)).where(~F.col("member"))
-    rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", 4).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"))
+    rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", 4).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"), F.col("sid").alias("comp"))
     few = rows.join(short, "sid", "left_semi")
     pairs = stash(_pairs(few, rows, ["key"]).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).where("a <> b").distinct(), "join-short")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
