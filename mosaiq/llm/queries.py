@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, ngrams, quality, sharding, tokens, toxicity, urls
+from . import decontaminate, licenses, lines, ngrams, pieces, quality, sharding, tokens, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.query,
         "op5_token_counts": tokens.query,
         "op6_line_dedup": lines.query,
+        "op7_pieces": pieces.query,
         "op8_sharding": sharding.query,
         "op9_url_filters": urls.query,
         "op10_toxicity": toxicity.query,
