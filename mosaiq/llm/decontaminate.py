@@ -56,6 +56,12 @@ def _numbered(hashes: Column) -> Column:
     return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, F.lit(1), i), lambda x: x == h))))
 
 
+def _short_windows(n: int) -> Column:
+    """Hashes of all windows of ``n`` words, each one shingle; null for shorter texts."""
+    at = lambda i: F.xxhash64(F.transform(F.slice("w", i, F.lit(n)), lambda x: F.xxhash64(x)))
+    return held(F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), at)))
+
+
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (doc_id, item_id, start, similarity) of at least ``similarity``, the best window of
     each pair, counted in words from 0; of equal ones the first.
@@ -78,8 +84,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", similarity: f
     start = F.least(F.greatest(F.col("i") - F.col("at"), F.lit(0)), F.greatest(F.col("n") - F.col("len"), F.lit(0)))
     windows = hits.select("doc_id", "len", start.alias("start"))
     for n in short:
-        own = docs.withColumn("hs", F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.transform(F.slice("w", i, n), lambda x: F.xxhash64(x)))))  # noqa: B023
-        few = own.where(F.size("w") >= n).select("doc_id", F.posexplode("hs").alias("start", "h"))
+        few = docs.select("doc_id", F.posexplode(_short_windows(n)).alias("start", "h"))
         windows = windows.unionByName(few.join(anchors.where(F.col("len") == n), "h").select("doc_id", "len", "start"))
     per_doc = windows.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("len", "start")).alias("places"))
     cut = docs.join(per_doc, "doc_id").select("doc_id", "w", F.explode("places").alias("p"))
