@@ -259,15 +259,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of rows that may count: one of them owns the band, not both leave a shingle out,
-    the smaller set (or of equal ones either) counts the segment, and the sizes fit."""
-    names = ["sid", "n", "deleted", "visitor", "active", "comp"]
-    a = left.select(*on, *(F.col(c).alias(f"{c}_a") for c in names))
-    b = right.select(*on, *(F.col(c).alias(f"{c}_b") for c in names))
-    lesser = F.when(F.col("n_a") < F.col("n_b"), F.col("active_a")).when(F.col("n_a") > F.col("n_b"), F.col("active_b")).otherwise(F.col("active_a") | F.col("active_b"))
-    ok = (F.col("comp_a") != F.col("comp_b")) & ~(F.col("visitor_a") & F.col("visitor_b")) & ~(F.col("deleted_a") & F.col("deleted_b")) & lesser
-    return a.join(b, on).where(ok & _fits(F.col("n_a"), F.col("n_b")))
+def _pairs(rows: DataFrame, few: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of set ids, with repeats, whose links may count: of different units and
+    components, one of them owning the band, not both leaving a shingle out, of fitting sizes,
+    and the key active for the smaller one (of equal ones, for either). With ``few``, the smaller
+    or the larger one is of these rows."""
+    names = ["sid", "n", "deleted", "visitor", "comp", "unit"]
+    a = (rows if few is None else few).where("active").select("key", *(F.col(c).alias(f"{c}_a") for c in names))
+    b = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in names))
+    ok = (F.col("unit_a") != F.col("unit_b")) & (F.col("comp_a") != F.col("comp_b")) & ~(F.col("visitor_a") & F.col("visitor_b"))
+    ok = ok & ~(F.col("deleted_a") & F.col("deleted_b")) & _fits(F.col("n_a"), F.col("n_b"))
+    if few is None:
+        ok = ok & (F.col("n_a") <= F.col("n_b"))
+    return a.join(b, "key").where(ok).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"))
 
 
 def _led(rows: DataFrame) -> DataFrame:
@@ -342,14 +346,13 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     labels = components(found)
     now = rows.drop("weight").join(kin.groupBy("sid").agg(F.min("family").alias("family")), "sid", "left")
     now = now.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    # What has one unit is one component or a family that is done.
-    now = stash(now.withColumn("unit", F.coalesce("family", "comp")).drop("family"), "join-rows")
-    groups = now.select("key", "unit").distinct()
-    meets = groups.select("key", F.col("unit").alias("ua")).join(groups.select("key", F.col("unit").alias("ub")), "key").where("ua < ub")
-    left = now.withColumnRenamed("unit", "ua").join(meets, ["key", "ua"])
-    right = now.withColumnRenamed("unit", "ub")
-    rest = _pairs(left, right, ["key", "ub"]).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
-    return stash(found.unionByName(verified(stash(rest, "join-rest"), sets)), "join-links")
+    # What has one unit is one component or a family that is done; keys with one unit go.
+    now = now.withColumn("unit", F.coalesce("family", "comp")).drop("family")
+    by_key = Window.partitionBy("key")
+    now = now.withColumn("low", F.min("unit").over(by_key)).withColumn("high", F.max("unit").over(by_key)).withColumn("any", F.max("active").over(by_key))
+    now = stash(now.where((F.col("low") < F.col("high")) & F.col("any")).drop("low", "high", "any"), "join-rows")
+    rest = stash(_pairs(now).distinct(), "join-rest")
+    return stash(found.unionByName(verified(rest, sets)), "join-links")
 
 
 def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -407,9 +410,9 @@ def filed_short(shared: DataFrame) -> DataFrame:
 def _short_links(docs: DataFrame, members: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
     """Links of such sets: a second pass in which every shingle is a segment of its own."""
     rows = _shared(filed(docs, text, key, everything=True)).where(~F.col("member"))
-    rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", 4).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"), F.col("sid").alias("comp"))
+    rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", 4).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"), F.col("sid").alias("comp"), F.col("sid").alias("unit"))
     few = rows.join(short, "sid", "left_semi")
-    pairs = stash(_pairs(few, rows, ["key"]).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).where("a <> b").distinct(), "join-short")
+    pairs = stash(_pairs(rows, few).distinct(), "join-short")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     return verified(pairs, stash(sets_of(docs, members, wanted, text, key), "join-sets"))
 
