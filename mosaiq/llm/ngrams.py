@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SHINGLE, drop_stash, stash
@@ -45,6 +45,8 @@ SPARE = 0.15
 #: Similarity to its leader from which a set is of the leader's family, the size from which a
 #: family is compared in blocks, and the shingles of a block.
 FAMILY, CROWD, BLOCK = (2, 5), 64, 1 << 18
+#: 64-bit words of a set's parities.
+PARITY = 8
 _MEMBER, _DELETED, _VISITOR, _SHORT = 1, 2, 4, 8
 
 _U = np.uint64
@@ -83,6 +85,15 @@ def set_id(s: np.ndarray) -> int:
         return int(mix(mix(one[0]) + one[1]).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of each of 64 * ``PARITY`` classes of shingles whether the set has an odd number. Each
+    shingle that two sets differ in changes one bit, so sets differ in at least as many shingles
+    as their parities in bits."""
+    at = mix(s + _P) % _U(64 * PARITY)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def differ_at_most(n: int, m: int) -> int:
     """The most shingles that sets of n and m may differ in and still reach the similarity."""
     return (n + m) * (DEN - NUM) // (DEN + NUM)
@@ -135,23 +146,28 @@ def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int, i
     return np.r_[keys, fewer].view(np.int64), flags, len(keys) - need, int(wide.sum())
 
 
-_FILED = "key bigint, sid bigint, n int, flags int, spare int"
+_FILED = "key bigint, sid bigint, n int, flags int, spare int, parities array<bigint>"
 
 
 def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything: bool = False) -> DataFrame:
-    """Rows of all sets: a member row for each document (key is its doc_id), and what its set
-    files, once for each set and task. ``flags`` holds the band above the four marks; ``spare``
+    """Rows of all sets: a member row for each document (key is its doc_id, with the parities of
+    its set), and what its set files, once for each set and task. ``flags`` holds the band above the four marks; ``spare``
     packs both numbers of ``signatures``. With ``everything``, each shingle is filed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         held: list[list[np.ndarray]] = []
+        odd: list[np.ndarray] = []
         size = 0
 
         def batch() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["key", "sid", "n", "flags", "spare"])
+            member = columns[3] == _MEMBER
+            ends = pa.array(np.r_[0, np.cumsum(np.where(member, PARITY, 0))], type=pa.int32())
+            packed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(odd) if odd else [], type=pa.int64()), mask=pa.array(~member))
+            columns = [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, packed], names=["key", "sid", "n", "flags", "spare", "parities"])
 
         def put(keys, sid, n, flags, spare) -> None:
             k = len(keys)
@@ -162,6 +178,7 @@ def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything:
                 s = shingle_set(body.as_py())
                 sid, n = set_id(s), len(s)
                 put(np.array([doc], dtype=np.int64), sid, n, np.array([_MEMBER]), 0)
+                odd.append(parities(s))
                 size += 1
                 if n and sid not in done:
                     done.add(sid)
@@ -178,6 +195,7 @@ def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything:
                 if size >= 1 << 17:
                     yield batch()
                     held.clear()
+                    odd.clear()
                     size = 0
         if held:
             yield batch()
@@ -259,18 +277,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _plausible(a: str, b: str, num: int = NUM, den: int = DEN):
+    """Whether sets of these parities and sizes may reach a similarity; loses no pair that does."""
+    bits = functools.reduce(Column.__add__, [F.bit_count(F.col(f"parities_{a}")[k].bitwiseXOR(F.col(f"parities_{b}")[k])) for k in range(PARITY)])
+    return bits * (den + num) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (den - num)
+
+
 def _pairs(rows: DataFrame, few: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of set ids, with repeats, whose links may count: of different units and
     components, one of them owning the band, not both leaving a shingle out, of fitting sizes,
-    and the key active for the smaller one (of equal ones, for either). With ``few``, the smaller
-    or the larger one is of these rows."""
-    names = ["sid", "n", "deleted", "visitor", "comp", "unit"]
+    and the key active for the smaller one (of equal ones, for either). Where rows have
+    ``parities``, those must not differ in more bits than the sets may differ in shingles. With
+    ``few``, the smaller or the larger one is of these rows."""
+    names = ["sid", "n", "deleted", "visitor", "comp", "unit"] + ["parities"] * ("parities" in rows.columns)
     a = (rows if few is None else few).where("active").select("key", *(F.col(c).alias(f"{c}_a") for c in names))
     b = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in names))
     ok = (F.col("unit_a") != F.col("unit_b")) & (F.col("comp_a") != F.col("comp_b")) & ~(F.col("visitor_a") & F.col("visitor_b"))
     ok = ok & ~(F.col("deleted_a") & F.col("deleted_b")) & _fits(F.col("n_a"), F.col("n_b"))
     if few is None:
         ok = ok & (F.col("n_a") <= F.col("n_b"))
+    if "parities" in names:
+        ok = ok & _plausible("a", "b")
     return a.join(b, "key").where(ok).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b"))
 
 
@@ -328,13 +355,18 @@ def _within(family: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("family", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all links among sets that share a key.
+def links(rows: DataFrame, known: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Edges (a, b) whose components are those of all links among sets that share a key. Deletes
+    ``rows``, which is stashed.
 
     First each set meets its leader. Sets half-like one leader are its family; in a family of
     ``CROWD`` or more, where nearly all share keys, blocks are compared. All other sets of
-    different components are compared if an active key is theirs."""
-    led = stash(_compared(_led(rows), sets), "join-led")
+    different components are compared if an active key is theirs. Shingles are only fetched
+    for pairs that parities leave."""
+    at = lambda c: known.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parities").alias(f"parities_{c}"))
+    near = stash(_led(rows).join(at("a"), "a").join(at("b"), "b").where(_plausible("a", "b", *FAMILY)).select("a", "b"), "join-near")
+    sets = stash(sets_of(docs, known, near, text, key), "join-sets")
+    led = stash(_compared(near, sets), "join-led")
     found = led.where(_REACHED).select("a", "b")
     labels = components(found)
     kin = led.where(f"{FAMILY[1]} * both >= {FAMILY[0]} * either").select(F.col("a").alias("sid"), F.col("b").alias("family"))
@@ -343,6 +375,7 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     kin = kin.join(large.select("family"), "family").union(large.select("family", F.col("family").alias("sid")))
     kin = stash(kin.distinct(), "join-families")
     found = found.unionByName(stash(_within(kin, labels, sets), "join-links"))
+    drop_stash(sets)
     labels = components(found)
     now = rows.drop("weight").join(kin.groupBy("sid").agg(F.min("family").alias("family")), "sid", "left")
     now = now.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -351,13 +384,19 @@ def links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     by_key = Window.partitionBy("key")
     now = now.withColumn("low", F.min("unit").over(by_key)).withColumn("high", F.max("unit").over(by_key)).withColumn("any", F.max("active").over(by_key))
     now = stash(now.where((F.col("low") < F.col("high")) & F.col("any")).drop("low", "high", "any"), "join-rows")
-    rest = stash(_pairs(now).distinct(), "join-rest")
-    return stash(found.unionByName(verified(rest, sets)), "join-links")
+    drop_stash(rows)
+    rest = stash(_pairs(now.join(known.select("sid", "parities"), "sid")).distinct(), "join-rest")
+    drop_stash(now)
+    sets = stash(sets_of(docs, known, rest, text, key), "join-sets")
+    found = stash(found.unionByName(verified(rest, sets)), "join-links")
+    drop_stash(sets)
+    return found
 
 
-def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(sid, s) of the wanted set ids: the shingles of one document of each."""
-    first = members.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+def sets_of(docs: DataFrame, known: DataFrame, pairs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(sid, s) of the set ids in pairs (a, b): the shingles of one document of each."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    first = known.join(wanted, "sid", "left_semi").select("doc_id").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -378,13 +417,14 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     hashes of their 64-bit shingle hashes. Only the key and the text are read.
     """
     shared = stash(_shared(filed(docs, text, key)), "join-filed")
-    members = shared.where("member").select(F.col("key").alias("doc_id"), "sid", "n")
     rows = stash(_allocated(shared), "join-rows")
-    sets = stash(sets_of(docs, members, rows.select("sid").distinct(), text, key), "join-sets")
-    found = links(rows, sets)
-    short = filed_short(shared)
+    members = stash(shared.where("member").select(F.col("key").alias("doc_id"), "sid", "n", "parities"), "join-members")
+    known = stash(members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parities").alias("parities")), "join-known")
+    short = stash(filed_short(shared), "join-few")
+    drop_stash(shared)
+    found = links(rows, known, docs, text, key)
     if not short.isEmpty():
-        found = stash(found.unionByName(_short_links(docs, members, short, text, key)), "join-links")
+        found = stash(found.unionByName(_short_links(docs, known, short, text, key)), "join-links")
     # A doc_id with several texts joins their sets.
     several = members.where("n > 0").groupBy("doc_id").agg(F.min("sid").alias("a"), F.collect_set("sid").alias("all")).where(F.size("all") > 1)
     found = found.unionByName(several.select("a", F.explode("all").alias("b")).where("a <> b"))
@@ -407,14 +447,14 @@ def filed_short(shared: DataFrame) -> DataFrame:
     return shared.where(~F.col("member") & (F.col("flags").bitwiseAND(_SHORT) != 0)).select("sid").distinct()
 
 
-def _short_links(docs: DataFrame, members: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
+def _short_links(docs: DataFrame, known: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
     """Links of such sets: a second pass in which every shingle is a segment of its own."""
     rows = _shared(filed(docs, text, key, everything=True)).where(~F.col("member"))
     rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", 4).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"), F.col("sid").alias("comp"), F.col("sid").alias("unit"))
+    rows = rows.join(known.select("sid", "parities"), "sid")
     few = rows.join(short, "sid", "left_semi")
     pairs = stash(_pairs(rows, few).distinct(), "join-short")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    return verified(pairs, stash(sets_of(docs, members, wanted, text, key), "join-sets"))
+    return verified(pairs, stash(sets_of(docs, known, pairs, text, key), "join-sets"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
