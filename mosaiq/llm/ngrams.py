@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,8 +45,8 @@ SPARE = 0.15
 #: Similarity to its leader from which a set is of the leader's family, the size from which a
 #: family is compared in blocks, and the shingles of a block.
 FAMILY, CROWD, BLOCK = (2, 5), 64, 1 << 18
-#: 64-bit words of a set's parities.
-PARITY = 8
+#: Most 64-bit words of a set's parities (a power of two).
+PARITY = 64
 _MEMBER, _DELETED, _VISITOR, _SHORT = 1, 2, 4, 8
 
 _U = np.uint64
@@ -86,11 +86,12 @@ def set_id(s: np.ndarray) -> int:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """Of each of 64 * ``PARITY`` classes of shingles whether the set has an odd number. Each
-    shingle that two sets differ in changes one bit, so sets differ in at least as many shingles
-    as their parities in bits."""
-    at = mix(s + _P) % _U(64 * PARITY)
-    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    """For classes of shingles whether the set has an odd number: at least four times as many
+    classes as shingles, up to 64 * ``PARITY``. Each shingle that two sets differ in changes one bit, so
+    sets differ in at least as many shingles as their parities in bits. Adding both halves gives
+    the parities of half as many classes."""
+    bits = 64 * min(PARITY, max(1, (4 << len(s).bit_length()) // 64))
+    odd = np.bincount((mix(s + _P) % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -164,7 +165,9 @@ def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             member = columns[3] == _MEMBER
-            ends = pa.array(np.r_[0, np.cumsum(np.where(member, PARITY, 0))], type=pa.int32())
+            widths = np.zeros(len(member), dtype=np.int32)
+            widths[member] = [len(x) for x in odd]
+            ends = pa.array(np.r_[0, np.cumsum(widths)], type=pa.int32())
             packed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(odd) if odd else [], type=pa.int64()), mask=pa.array(~member))
             columns = [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]
             return pa.RecordBatch.from_arrays([*columns, packed], names=["key", "sid", "n", "flags", "spare", "parities"])
@@ -278,8 +281,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _plausible(a: str, b: str, num: int = NUM, den: int = DEN):
-    """Whether sets of these parities and sizes may reach a similarity; loses no pair that does."""
-    bits = functools.reduce(Column.__add__, [F.bit_count(F.col(f"parities_{a}")[k].bitwiseXOR(F.col(f"parities_{b}")[k])) for k in range(PARITY)])
+    """Whether sets of these parities and fitting sizes may reach a similarity; loses no pair that
+    does. The longer parities, if any, have twice the words of the others."""
+    x, y = F.col(f"parities_{a}"), F.col(f"parities_{b}")
+    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    half = F.size(short)
+    differing = lambda w, i: F.bit_count(w.bitwiseXOR(F.get(long, i)).bitwiseXOR(F.coalesce(F.get(long, i + half), F.lit(0).cast("long"))))
+    bits = F.aggregate(F.transform(short, differing), F.lit(0), lambda total, c: total + c)
     return bits * (den + num) <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * (den - num)
 
 
@@ -355,9 +363,9 @@ def _within(family: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("family", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def links(rows: DataFrame, known: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+def links(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all links among sets that share a key. Deletes
-    ``rows``, which is stashed.
+    ``rows``, which is stashed. ``fetch`` gives the sets of pairs, stashed.
 
     First each set meets its leader. Sets half-like one leader are its family; in a family of
     ``CROWD`` or more, where nearly all share keys, blocks are compared. All other sets of
@@ -365,7 +373,7 @@ def links(rows: DataFrame, known: DataFrame, docs: DataFrame, text: str, key: st
     for pairs that parities leave."""
     at = lambda c: known.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("parities").alias(f"parities_{c}"))
     near = stash(_led(rows).join(at("a"), "a").join(at("b"), "b").where(_plausible("a", "b", *FAMILY)).select("a", "b"), "join-near")
-    sets = stash(sets_of(docs, known, near, text, key), "join-sets")
+    sets = fetch(near)
     led = stash(_compared(near, sets), "join-led")
     found = led.where(_REACHED).select("a", "b")
     labels = components(found)
@@ -387,14 +395,15 @@ def links(rows: DataFrame, known: DataFrame, docs: DataFrame, text: str, key: st
     drop_stash(rows)
     rest = stash(_pairs(now.join(known.select("sid", "parities"), "sid")).distinct(), "join-rest")
     drop_stash(now)
-    sets = stash(sets_of(docs, known, rest, text, key), "join-sets")
+    sets = fetch(rest)
     found = stash(found.unionByName(verified(rest, sets)), "join-links")
     drop_stash(sets)
     return found
 
 
-def sets_of(docs: DataFrame, known: DataFrame, pairs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(sid, s) of the set ids in pairs (a, b): the shingles of one document of each."""
+def sets_of(docs: DataFrame, known: DataFrame, pairs: DataFrame, unique: bool, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(sid, s) of the set ids in pairs (a, b), stashed: the shingles of one document of each.
+    Texts that share a doc_id may give a set twice, unless each doc_id is ``unique``."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     first = known.join(wanted, "sid", "left_semi").select("doc_id").distinct()
 
@@ -404,7 +413,8 @@ def sets_of(docs: DataFrame, known: DataFrame, pairs: DataFrame, text: str = "te
             yield pd.DataFrame({"sid": [set_id(s) for s in found], "s": [s.view(np.int64) for s in found]})
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(first, "doc_id", "left_semi")
-    return rows.select("text").mapInPandas(run, "sid bigint, s array<bigint>").dropDuplicates(["sid"])
+    found = rows.select("text").mapInPandas(run, "sid bigint, s array<bigint>")
+    return stash(found if unique else found.dropDuplicates(["sid"]), "join-sets")
 
 
 def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -422,9 +432,11 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     known = stash(members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parities").alias("parities")), "join-known")
     short = stash(filed_short(shared), "join-few")
     drop_stash(shared)
-    found = links(rows, known, docs, text, key)
+    unique = members.groupBy("doc_id").count().where("count > 1").isEmpty()
+    fetch = lambda pairs: sets_of(docs, known, pairs, unique, text, key)
+    found = links(rows, fetch, known)
     if not short.isEmpty():
-        found = stash(found.unionByName(_short_links(docs, known, short, text, key)), "join-links")
+        found = stash(found.unionByName(_short_links(docs, fetch, known, short, text, key)), "join-links")
     # A doc_id with several texts joins their sets.
     several = members.where("n > 0").groupBy("doc_id").agg(F.min("sid").alias("a"), F.collect_set("sid").alias("all")).where(F.size("all") > 1)
     found = found.unionByName(several.select("a", F.explode("all").alias("b")).where("a <> b"))
@@ -447,14 +459,14 @@ def filed_short(shared: DataFrame) -> DataFrame:
     return shared.where(~F.col("member") & (F.col("flags").bitwiseAND(_SHORT) != 0)).select("sid").distinct()
 
 
-def _short_links(docs: DataFrame, known: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
+def _short_links(docs: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
     """Links of such sets: a second pass in which every shingle is a segment of its own."""
     rows = _shared(filed(docs, text, key, everything=True)).where(~F.col("member"))
     rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", 4).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"), F.col("sid").alias("comp"), F.col("sid").alias("unit"))
     rows = rows.join(known.select("sid", "parities"), "sid")
     few = rows.join(short, "sid", "left_semi")
     pairs = stash(_pairs(rows, few).distinct(), "join-short")
-    return verified(pairs, stash(sets_of(docs, known, pairs, text, key), "join-sets"))
+    return verified(pairs, fetch(pairs))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
