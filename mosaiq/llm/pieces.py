@@ -26,11 +26,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The mark that stands for a space.
 MARK = "▁"
 #: Encodings of words that a worker remembers; beyond, it forgets all.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Code points of new words that are indexed at once.
-BATCH = 1 << 20
+BATCH = 1 << 18
 #: Texts that are split into words at once.
-PART = 2048
+PART = 1024
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -275,12 +275,13 @@ def encoded(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFram
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(shipped.value)
-        gc.disable()  # the memory of words has no cycles, and each pass over it costs seconds
+        gc.disable()  # the memory of words has no cycles, and each pass over all of it costs seconds
         for texts in batches:
             # A part of a batch at a time, so that few texts are split into words at once.
             rows = []
             for k in range(0, len(texts), PART):
                 rows += [np.array(x, dtype=np.int32) for x in encoder.encode([t or "" for t in texts.iloc[k : k + PART]])]
+                gc.collect(0)  # of what this part left, new objects only
             yield pd.Series(rows)
 
     return docs.withColumn("ids", run(F.col(text))).withColumn("n_tokens", F.size("ids").cast("long"))
