@@ -312,3 +312,16 @@ def test_pipeline(spark):
         now = {r[0] for r in left.select("doc_id").collect()}
         assert now <= ids
         ids = now
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(1)
+    for n in (1, 40, 63, 64, 127, 128, 500, 1023, 1024, 5000):
+        for share in (0, 0.05, 0.3):
+            a, k = rng.integers(0, 2**63, n, dtype=np.uint64), int(n * share)
+            b = np.unique(np.r_[a[k:], rng.integers(0, 2**63, 2 * k, dtype=np.uint64)])
+            x, y = sorted((ngrams.parities(np.unique(a)), ngrams.parities(b)), key=len)
+            if len(y) > len(x):
+                y = y[: len(x)] ^ y[len(x) :]
+            bits = sum((int(v) & (2**64 - 1)).bit_count() for v in x ^ y)
+            assert bits <= len(np.setxor1d(a, b))
