@@ -90,7 +90,8 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", similarity: f
     cut = docs.join(per_doc, "doc_id").select("doc_id", "w", F.explode("places").alias("p"))
     cut = cut.select("doc_id", "p.len", "p.start", F.slice("w", F.col("p.start") + 1, F.col("p.len")).alias("w"))
     cut = with_shingles(cut, F.col("w"), "hs").select("doc_id", "len", "start", "hs")
-    cut = stash(cut.withColumn("wid", F.xxhash64("hs")), "benchmark-windows")
+    # A text shorter than items of several lengths is the same window for each of them.
+    cut = stash(cut.withColumn("wid", F.xxhash64("len", "hs")), "benchmark-windows")
     seen, known = _fingerprints(cut, "wid"), _fingerprints(items, "iid").withColumnRenamed("fp", "ifp")
     near = _blocked(seen, "fp").join(_blocked(known, "ifp"), ["len", "block", "part"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("wid", "iid").distinct()

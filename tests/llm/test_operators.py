@@ -231,6 +231,21 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_items_of_several_lengths(spark):
+    """A text that is a short item, where longer items share a phrase with it."""
+    items, docs = [], []
+    for k in range(6):
+        short = passage(900 + k, 44 + k)
+        phrase = " ".join(short.split()[10:16])
+        items.append((10 * k, short))
+        items += [(10 * k + j, f"{passage(950 + 9 * k + j, 40)} {phrase} {passage(990 + 9 * k + j, 10 * j)}") for j in (1, 2, 3)]
+        docs += [(10 * k, short), (10 * k + 1, f"{passage(700 + k, 90)} {short} {passage(800 + k, 90)}")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    out = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in out}
+    assert found == {(10 * k + j, 10 * k, 90 * j, 1.0) for k in range(6) for j in (0, 1)}
+
+
 TEXTS = ["", " ", "a b", "  a  b ", "x" + " " * 37 + "y", "\n\nq\n", "日本 ①", "ab" * 40, "The quick brown fox"]
 
 
