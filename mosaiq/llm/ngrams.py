@@ -387,8 +387,9 @@ def links(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataF
     labels = components(found)
     now = rows.drop("weight").join(kin.groupBy("sid").agg(F.min("family").alias("family")), "sid", "left")
     now = now.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    # What has one unit is one component or a family that is done; keys with one unit go.
-    now = now.withColumn("unit", F.coalesce("family", "comp")).drop("family")
+    # What has one unit is one component or a family that is done; keys with one unit go. Both
+    # have set ids for names; a family's is hashed, so that it is no component's.
+    now = now.withColumn("unit", F.when(F.col("family").isNull(), F.col("comp")).otherwise(F.xxhash64("family"))).drop("family")
     by_key = Window.partitionBy("key")
     now = now.withColumn("low", F.min("unit").over(by_key)).withColumn("high", F.max("unit").over(by_key)).withColumn("any", F.max("active").over(by_key))
     now = stash(now.where((F.col("low") < F.col("high")) & F.col("any")).drop("low", "high", "any"), "join-rows")

@@ -124,6 +124,20 @@ def test_short_sets_take_the_second_pass(spark, monkeypatch):
     assert joined(spark, rows) == classes(rows) and whole
 
 
+def test_family_and_component_of_one_id(spark, monkeypatch):
+    """Set 1 leads a large family and gives its component its id; 3 is of that component only,
+    4 of the family only, and the link of 3 and 4 joins the components."""
+    monkeypatch.setattr(ngrams, "CROWD", 2)
+    sets = {k + 1: np.arange(12 * k, 12 * k + 100, dtype=np.uint64) for k in range(4)}
+    weight, keys = {1: 9.0, 2: 8.0, 3: 2.0, 4: 1.0}, {10: (1, 2), 11: (1, 4), 12: (1, 4), 13: (2, 3), 14: (3, 4)}
+    rows = [(key, i, 100, 6, False, False, True, weight[i]) for key, held in keys.items() for i in held]
+    rows = spark.createDataFrame(rows, "key long, sid long, n int, band int, deleted boolean, visitor boolean, active boolean, weight double")
+    known = spark.createDataFrame([(i, 100, ngrams.parities(ngrams.mix(s)).tolist()) for i, s in sets.items()], "sid long, n int, parities array<long>")
+    whole = spark.createDataFrame([(i, s.tolist()) for i, s in sets.items()], "sid long, s array<long>")
+    found = ngrams.links(ngrams.stash(rows, "test-rows"), lambda pairs: ngrams.stash(whole, "test-sets"), known)
+    assert {tuple(sorted((r["a"], r["b"]))) for r in found.collect()} == {(1, 2), (2, 3), (3, 4)}
+
+
 def test_join_odd(odd, none):
     out = ngrams.joined(odd).collect()
     by = defaultdict(list)
