@@ -47,7 +47,9 @@ SPARE = 0.15
 FAMILY, CROWD, BLOCK = (2, 5), 64, 1 << 18
 #: Most 64-bit words of a set's parities (a power of two).
 PARITY = 64
-_MEMBER, _DELETED, _VISITOR, _SHORT = 1, 2, 4, 8
+_MEMBER, _DELETED, _VISITOR, _SHORT, _WIDE = 1, 2, 4, 8, 16
+#: The band stands above the marks.
+_BAND = 5
 
 _U = np.uint64
 _M1, _M2, _P = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -121,16 +123,16 @@ def plan(band: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(keys, flags, spare, doubled) that a set files in a band: ``spare`` is how many of its
+def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int, int, np.ndarray]:
+    """(keys, flags, spare, doubled, wide) that a set files in a band: ``spare`` is how many of its
     segments it may drop (negative: it must count that many doubled), ``doubled`` how many
-    segments with one-deletion variants it has."""
+    segments with one-deletion variants it has, ``wide`` the places of their whole keys."""
     n, top = len(s), (2 << band) - 1
     need = differ_at_most(n, min(top, n * DEN // NUM)) + 1
     m, u = plan(band)
     seed = _U((band + 1) * int(_M2) % (1 << 64))
     if not m:
-        return mix(s ^ seed).view(np.int64), np.zeros(n, dtype=np.int32), n - need, 0
+        return mix(s ^ seed).view(np.int64), np.zeros(n, dtype=np.int32), n - need, 0, np.zeros(0, dtype=np.int64)
     mixed = mix(s + seed)
     segment = ((mixed >> _U(32)) * _U(m)) >> _U(32)
     order = np.argsort(segment, kind="stable")
@@ -144,7 +146,7 @@ def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int, i
     inner = np.repeat(wide, sizes)
     fewer = mix(np.repeat(sums + place, sizes)[inner] - value[inner])
     flags = np.r_[np.zeros(len(keys), dtype=np.int32), np.full(len(fewer), _DELETED, dtype=np.int32)]
-    return np.r_[keys, fewer].view(np.int64), flags, len(keys) - need, int(wide.sum())
+    return np.r_[keys, fewer].view(np.int64), flags, len(keys) - need, int(wide.sum()), np.flatnonzero(wide)
 
 
 _FILED = "key bigint, sid bigint, n int, flags int, spare int, parities array<bigint>"
@@ -152,7 +154,7 @@ _FILED = "key bigint, sid bigint, n int, flags int, spare int, parities array<bi
 
 def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything: bool = False) -> DataFrame:
     """Rows of all sets: a member row for each document (key is its doc_id, with the parities of
-    its set), and what its set files, once for each set and task. ``flags`` holds the band above the four marks; ``spare``
+    its set), and what its set files, once for each set and task. ``flags`` holds the band above the marks; ``spare``
     packs both numbers of ``signatures``. With ``everything``, each shingle is filed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +193,10 @@ def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything:
                         if everything:
                             keys, flags, spare, doubled = mix(s ^ _U(b + 77)).view(np.int64), np.zeros(n, dtype=np.int32), 0, 0
                         else:
-                            keys, flags, spare, doubled = signatures(s, b)
+                            keys, flags, spare, doubled, wide = signatures(s, b)
+                            flags[wide] = _WIDE
                         short = _SHORT if spare + doubled < 0 else 0
-                        put(keys, sid, n, flags | visitor | short | (b << 4), (min(max(spare, -32768), 32767) << 15) | min(doubled, 32767))
+                        put(keys, sid, n, flags | visitor | short | (b << _BAND), (min(max(spare, -32768), 32767) << 15) | min(doubled, 32767))
                         size += len(keys)
                 if size >= 1 << 17:
                     yield batch()
@@ -221,23 +224,29 @@ def _shared(rows: DataFrame) -> DataFrame:
 def _allocated(shared: DataFrame) -> DataFrame:
     """(key, sid, n, band, deleted, visitor, active, weight): a row is active unless its set
     drops it. A set drops its most shared segments as far as ``spare`` allows; if it counts its
-    one-deletion variants, it may drop as many more. It takes what shares less in all."""
+    one-deletion variants, it may drop as many more, but no whole key of a segment with variants:
+    variants meet whole keys alone, so equal segments, which count double, would not meet. It
+    takes what shares less in all."""
     rows = shared.where(~F.col("member")).dropDuplicates(["key", "sid", "flags"]).select(
         "key", "sid", "n", "met",
-        F.shiftright("flags", 4).alias("band"),
+        F.shiftright("flags", _BAND).alias("band"),
         (F.col("flags").bitwiseAND(_DELETED) != 0).alias("deleted"),
         (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"),
+        (F.col("flags").bitwiseAND(_WIDE) != 0).alias("wide"),
         F.shiftright("spare", 15).alias("spare"),
         F.col("spare").bitwiseAND(32767).alias("doubled"),
     )
     own = Window.partitionBy("sid", "band")
-    rank = F.row_number().over(own.orderBy("deleted", F.desc("met"), "key"))
-    cost = lambda most, with_deleted: F.sum(F.when(~F.col("deleted") & (F.col("rank") > most), F.col("met")).when(F.col("deleted") & F.lit(with_deleted), F.col("met")).otherwise(0)).over(own)
-    rows = rows.withColumn("rank", rank)
+    order = own.orderBy("deleted", F.desc("met"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The place among all whole keys, and among those of segments without variants.
+    rows = rows.withColumns({"rank": F.row_number().over(order), "narrow": F.count_if(~F.col("wide")).over(order)})
+    stays_plain = lambda most: ~F.col("deleted") & (F.col("rank") > most)
+    stays_double = lambda most: F.col("deleted") | F.col("wide") | (F.col("narrow") > most)
+    cost = lambda stays: F.sum(F.when(stays, F.col("met")).otherwise(0)).over(own)
     plain, more = F.col("spare"), F.col("spare") + F.col("doubled")
-    double = (plain < 0) | (cost(more, True) < cost(plain, False))
+    double = (plain < 0) | (cost(stays_double(more)) < cost(stays_plain(plain)))
     rows = rows.withColumn("double", double).withColumn("most", F.when(F.col("double"), F.greatest(more, F.lit(0))).otherwise(plain))
-    active = F.when(F.col("deleted"), F.col("double")).otherwise(F.col("rank") > F.col("most"))
+    active = F.when(F.col("double"), stays_double(F.col("most"))).otherwise(stays_plain(F.col("most")))
     weight = F.avg("met").over(Window.partitionBy("sid"))
     return rows.select("key", "sid", "n", "band", "deleted", "visitor", active.alias("active"), weight.alias("weight"))
 
@@ -463,7 +472,7 @@ def filed_short(shared: DataFrame) -> DataFrame:
 def _short_links(docs: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
     """Links of such sets: a second pass in which every shingle is a segment of its own."""
     rows = _shared(filed(docs, text, key, everything=True)).where(~F.col("member"))
-    rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", 4).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"), F.col("sid").alias("comp"), F.col("sid").alias("unit"))
+    rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", _BAND).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"), F.col("sid").alias("comp"), F.col("sid").alias("unit"))
     rows = rows.join(known.select("sid", "parities"), "sid")
     few = rows.join(short, "sid", "left_semi")
     pairs = stash(_pairs(rows, few).distinct(), "join-short")

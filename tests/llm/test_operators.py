@@ -117,6 +117,44 @@ def test_guarantee_of_signatures():
             assert x[2] + x[3] >= 0 and set(x[0].tolist()) & set(y[0].tolist())
 
 
+def test_guarantee_of_doubled_segments(spark, monkeypatch):
+    """A set that counts variants and drops its most shared key meets a set that only one segment,
+    with variants and shared by a crowd, has in common with it."""
+    m, band = 32, 6
+    monkeypatch.setattr(ngrams, "plan", lambda b: (m, 2))
+    r, dealt = random.Random(8), defaultdict(list)
+    with np.errstate(over="ignore"):
+        seed = np.uint64((band + 1) * int(ngrams._M2) % (1 << 64))
+        for x in np.array([r.getrandbits(64) for _ in range(4000)], dtype=np.uint64):
+            dealt[(int(ngrams.mix(x + seed)) >> 32) * m >> 32].append(int(x))
+    new = lambda k: dealt[k].pop()
+    a = {k: [new(k) for _ in range(7 if k == 5 else 3)] for k in range(m)}
+    b = {k: x[1:] if k in (2, 3, 4) else x if k == 0 else x + [new(k) for _ in range(2 if k == 1 else 1)] for k, x in a.items()}
+    crowd = [{k: a[0] if k == 0 else [new(k) for _ in range(3)] for k in range(m)} for _ in range(3)]
+    sets = [np.array(sorted(sum(x.values(), [])), dtype=np.uint64) for x in (a, b, *crowd)]
+    one, other = set(sets[0].tolist()), set(sets[1].tolist())
+    assert 4 * len(one & other) >= 3 * len(one | other) and len(one) == 100
+    spare, doubled = ngrams.signatures(sets[0], band)[2:4]
+    assert (spare, doubled) == (-1, 2)
+
+    class Local:
+        """Runs the function on the driver, over the sets above for texts."""
+
+        columns = ["doc_id", "text"]
+        where = select = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            part = pa.RecordBatch.from_pydict({"doc_id": list(range(len(sets))), "text": [str(k) for k in range(len(sets))]})
+            return spark.createDataFrame([x for y in run([part]) for x in map(lambda z: tuple(z.values()), y.to_pylist())], schema)
+
+    monkeypatch.setattr(ngrams, "shingle_set", lambda text: sets[int(text)])
+    rows = ngrams._allocated(ngrams._shared(ngrams.filed(Local())))
+    pairs = ngrams._pairs(rows.withColumn("comp", F.col("sid")).withColumn("unit", F.col("sid"))).collect()
+    assert tuple(sorted(map(ngrams.set_id, sets[:2]))) in {(x["a"], x["b"]) for x in pairs}
+
+
 def test_short_sets_take_the_second_pass(spark, monkeypatch):
     whole = ngrams.signatures
     monkeypatch.setattr(ngrams, "filed_short", lambda shared: shared.where("not member").select("sid").distinct())
