@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -283,6 +284,36 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def plain_matches(docs, items):
+    """{(doc_id, item_id): similarity} by brute force over all windows of at least five words."""
+    found = {}
+    cut = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    for i, text in docs:
+        w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+        for j, item in items:
+            v = item.lower().split()
+            b = cut(v)
+            for at in range(max(0, len(w) - len(v)) + 1):
+                a = cut(w[at : at + len(v)])
+                s = sum((a & b).values()) / max(1, sum((a | b).values()))
+                if s >= 0.75:
+                    found[i, j] = max(s, found.get((i, j), 0))
+    return found
+
+
+def test_decontamination_finds_near_copies(spark):
+    items = [(k, passage(50 + k, 40)) for k in range(4)]
+    docs = [(9, passage(3, 200))]
+    for k, item in items:
+        for at in (0, 1, 20, 38):  # one word changed: 1 to 5 of 36 shingles
+            w = item.split()
+            w[at] = "other"
+            docs.append((100 * k + at + 10, f"{passage(500 + k, 30)} {' '.join(w)} {passage(600 + k, 30)}"))
+    want = plain_matches(docs, items)
+    out = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) >= 12 and {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in out} == want
+
+
 def test_decontamination_by_items_of_several_lengths(spark):
     """A text that is a short item, where longer items share a phrase with it."""
     items, docs = [], []
@@ -381,6 +412,62 @@ def test_pipeline(spark):
         ids = now
 
 
+def test_pipeline_stages_are_brute_force(spark, tmp_path):
+    """Ids and texts that each stage leaves, against plain Python."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import sentencepiece
+
+    common = "This line is in very many of the documents here."
+    items = [(k, passage(50 + k, 30 + k)) for k in range(3)]
+    rows = []
+    for k in range(120):
+        body = passage(1000 + k, 60) + (" Grobian Flegel" if k % 3 == 0 else "")
+        rows.append((k, f"{body}\n{common}\n{passage(2000 + k, 20)}" if k % 4 == 1 else body))
+    rows += [(200 + k, rows[3 * k + 1][1] + " end") for k in range(8)]
+    rows += [(300 + k, f"{passage(3000 + k, 50)} {items[k][1]} {passage(4000 + k, 50)}") for k in range(3)]
+    rows += [(400, None), (401, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def toxic(left):
+        model = toxicity.learned(docs, marks)
+        return {i: t for i, t in left.items() if model.score(t) < 0.5}
+
+    def deduplicated(left):
+        held = defaultdict(set)
+        for i, t in left.items():
+            for x in (t or "").split("\n"):
+                held[x.strip().lower()].add(i)
+        gone = {x: max(v) for x, v in held.items() if len(x) >= 40 and len(v) >= 5}
+        stay = lambda i, x: gone.get(x.strip().lower(), i) == i
+        return {i: t and "\n".join(x for x in t.split("\n") if stay(i, x)) for i, t in left.items()}
+
+    def one_of_each(left):
+        comp = classes(sorted(left.items()))
+        return {i: t for i, t in left.items() if comp[i][1] == i}
+
+    def clean(left):
+        bad = {i for i, _ in plain_matches(left.items(), items)}
+        return {i: t for i, t in left.items() if i not in bad}
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    plain = {"toxicity": toxic, "line_dedup": deduplicated, "ngram_join": one_of_each, "decontamination": clean}
+    assert [name for name, _ in pipeline.STAGES] == [*plain, "sentencepiece"]
+    left, want = docs, dict(rows)
+    for name, stage in pipeline.STAGES:
+        left = stage(spark, left, str(tmp_path)).cache()
+        got = left.collect()
+        if name == "sentencepiece":
+            assert len(got) == len(want) and {r["doc_id"]: (list(r["ids"]), r["n_tokens"]) for r in got} == {i: (x := library.encode(t or ""), len(x)) for i, t in want.items()}
+            continue
+        before, want = want, plain[name](want)
+        assert want and want != before, name
+        assert len(got) == len(want) and {r["doc_id"]: r["text"] for r in got} == want, name
+        assert all(r["n_chars"] == len(r["text"] or "") for r in got)
+
+
 def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
     rng = np.random.default_rng(1)
     for n in (1, 40, 63, 64, 127, 128, 500, 1023, 1024, 5000):
