@@ -31,15 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again. This cuts the lineage: a lost
-    executor costs nothing that was stashed, and later plans know the real size."""
+def stash(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders ``by`` columns, and read it again. This cuts the
+    lineage: a lost executor costs nothing that was stashed, and later plans know the real size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mosaiq/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_forget, spark, path)
@@ -55,7 +55,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 def drop_stash(df: DataFrame) -> None:
     """Delete a stashed table that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in {f[: f.index("/", f.rindex("/mosaiq/") + 8)] for f in df.inputFiles()}:
         _forget(df.sparkSession, path)
 
 
@@ -98,8 +98,3 @@ def with_shingles(df: DataFrame, words_: Column, out: str, size: int = SHINGLE)
         )
         .drop(base)
     )
-
-
-def with_ids(frame: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns of the caller can't clash."""
-    return frame.select(*(F.col(n) for n in names))

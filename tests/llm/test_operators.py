@@ -246,16 +246,27 @@ def test_line_dedup(spark):
 
 
 def test_line_runs_levels(spark, odd, none):
+    """A key is counted until the runs settle it; runs are compacted by levels."""
     store = lines.LineRuns(spark, fanout=2)
     for k in range(5):
-        batch = spark.createDataFrame([(k, passage(7, 30)), (k + 10, passage(k, 30))], "doc_id long, text string")
-        keys = lines.line_keys(batch)
-        assert store.unseen(keys).count() == (2 if k == 0 else 1)
-        store.add(keys)
-    assert [len(x) for x in store.levels] == [1, 0, 1] and store.totals().agg(F.max("n_docs")).first()[0] == 5
+        batch = spark.createDataFrame([(20 - k, passage(7, 30)), (10 - k, passage(k, 30))], "doc_id long, text string")
+        store.add(lines.line_keys(batch), 3)
+    assert [len(x) for x in store.levels] == [1, 0, 1] and store.totals().agg(F.max("n_docs")).first()[0] == 3
+    assert store.totals().where("n_docs = 3").first()["last_doc"] == 20 and store.totals().count() == 6
     assert lines.deduplicated(odd).count() == 10 and lines.deduplicated(none).count() == 0
 
 
+def test_line_dedup_counts_documents(spark, monkeypatch):
+    """Five rows of two documents are two documents; both ways to apply the keys agree."""
+    common, other = passage(1, 20), passage(2, 20)
+    rows = [(1, common)] * 4 + [(2, common)] + [(k, f"{other}\n{k}") for k in (3, 3, 4, 5, 6, 7)] + [(None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([("None", 0)] + [(str(k), 0) for k in (1, 1, 1, 1, 2, 7)] + [(str(k), 1) for k in (3, 3, 4, 5, 6)])
+    for most in (lines.MOST_KEYS, 0):
+        monkeypatch.setattr(lines, "MOST_KEYS", most)
+        assert sorted((str(r["doc_id"]), r["n_dropped"]) for r in lines.deduplicated(docs).collect()) == want
+
+
 def test_licenses(spark, odd, none):
     whole = licenses.TEMPLATES["mit-grant"]
     near = whole.replace("free of charge", "free of cost").upper()
