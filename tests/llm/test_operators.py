@@ -439,7 +439,30 @@ def test_toxicity_pieces_overlap(monkeypatch):
     text = passage(1, 300)
     whole = toxicity.features(text)
     monkeypatch.setattr(toxicity, "PIECE", 100)
-    assert (toxicity.features(text) == whole).all()
+    assert all((a == b).all() for a, b in zip(toxicity.features(text), whole, strict=True))
+
+
+def test_toxicity_held_out(spark):
+    """Held-out recall and false alarms on the driver's tables; scores equal a plain recount."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.learned(docs, labels)
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id")))
+    out = toxicity.scored(rows, model).select("text", "toxic", "score", "predicted").collect()
+    toxic, clean = ([r["predicted"] for r in out if r["toxic"] == k] for k in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+    known = {int(k): float(model.weights[k]) for k in np.flatnonzero(model.weights)}
+    for r in out[:40]:
+        count = Counter(int(p) for part in toxicity.ngram_places(r["text"]) for p in part)
+        z = model.bias + sum(w * np.log1p(count[k] * 2000 / max(len(r["text"]), 200)) for k, w in known.items() if k in count)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Of rows that share an id one text trains; every row is scored by its own text."""
+    docs = spark.createDataFrame([(2, "a"), (2, "b"), (2, "a"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert sorted((r["doc_id"], r["label"]) for r in toxicity.training_rows(docs, labels).collect()) == [(k, v) for k, v in ((2, 1), (3, 0)) if k in (2, 3)]
 
 
 def test_pipeline(spark):
