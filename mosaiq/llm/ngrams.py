@@ -45,6 +45,8 @@ SPARE = 0.15
 #: Similarity to its leader from which a set is of the leader's family, the size from which a
 #: family is compared in blocks, and the shingles of a block.
 FAMILY, CROWD, BLOCK = (2, 5), 64, 1 << 18
+#: A key that more than this part of all rows share is looked up apart.
+HEAVY = 10_000
 #: Most 64-bit words of a set's parities (a power of two).
 PARITY = 64
 _MEMBER, _DELETED, _VISITOR, _SHORT, _WIDE = 1, 2, 4, 8, 16
@@ -57,9 +59,19 @@ _M1, _M2, _P = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
-    x = (x ^ (x >> _U(30))) * _M1
-    x = (x ^ (x >> _U(27))) * _M2
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _M1
+    x ^= x >> _U(27)
+    x *= _M2
+    x ^= x >> _U(31)
+    return x
+
+
+def _starts(s: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start in sorted ones."""
+    new = np.ones(len(s), dtype=bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -74,26 +86,33 @@ def shingle_set(text: str | None) -> np.ndarray:
     n = min(SHINGLE, len(w))
     h = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for k in range(n):
-        h = h * _P + w[k : len(w) - n + 1 + k]
-    return np.unique(mix(h))
+        h *= _P
+        h += w[k : len(w) - n + 1 + k]
+    s = mix(h)
+    s.sort()
+    return s[_starts(s)]
+
+
+def _spread(s: np.ndarray, seed: int = 0) -> np.ndarray:
+    return mix(s + _U((seed + 1) * int(_P) % (1 << 64)))
 
 
-def set_id(s: np.ndarray) -> int:
-    """64 bits of a set: equal for equal sets."""
+def set_id(s: np.ndarray, seed: int = 0, spread: np.ndarray | None = None) -> int:
+    """64 bits of a set: equal for equal sets. ``joined`` takes another seed if two sets share one."""
     if not len(s):
         return 0
     with np.errstate(over="ignore"):
-        one = np.array([s.sum() + _U(len(s))]), np.array([mix(s ^ _P).sum()])
-        return int(mix(mix(one[0]) + one[1]).view(np.int64)[0])
+        total = (_spread(s, seed) if spread is None else spread).sum(keepdims=True)
+        return int(mix(mix(s.sum(keepdims=True) + _U(len(s))) + total).view(np.int64)[0])
 
 
-def parities(s: np.ndarray) -> np.ndarray:
+def parities(s: np.ndarray, spread: np.ndarray | None = None) -> np.ndarray:
     """For classes of shingles whether the set has an odd number: at least four times as many
     classes as shingles, up to 64 * ``PARITY``. Each shingle that two sets differ in changes one bit, so
     sets differ in at least as many shingles as their parities in bits. Adding both halves gives
     the parities of half as many classes."""
     bits = 64 * min(PARITY, max(1, (4 << len(s).bit_length()) // 64))
-    odd = np.bincount((mix(s + _P) % _U(bits)).astype(np.int64), minlength=bits) & 1
+    odd = np.bincount(((_spread(s) if spread is None else spread) & _U(bits - 1)).view(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -133,29 +152,42 @@ def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int, i
     seed = _U((band + 1) * int(_M2) % (1 << 64))
     if not m:
         return mix(s ^ seed).view(np.int64), np.zeros(n, dtype=np.int32), n - need, 0, np.zeros(0, dtype=np.int64)
+    # In the order of the mixed values the segments stand in order, too.
     mixed = mix(s + seed)
-    segment = ((mixed >> _U(32)) * _U(m)) >> _U(32)
-    order = np.argsort(segment, kind="stable")
-    segment, value = segment[order], mix(mixed ^ _P)[order]
-    starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+    mixed.sort()
+    segment, value = ((mixed >> _U(32)) * _U(m)) >> _U(32), mix(mixed ^ _P)
+    starts = _starts(segment)
     sums, filled = np.add.reduceat(value, starts), segment[starts]
-    sizes = np.diff(np.r_[starts, n])
-    place = mix((filled + _U(1)) * _P + seed)
-    keys = mix(sums + place)
-    wide = (filled < u) & (sizes >= 2)
-    inner = np.repeat(wide, sizes)
-    fewer = mix(np.repeat(sums + place, sizes)[inner] - value[inner])
-    flags = np.r_[np.zeros(len(keys), dtype=np.int32), np.full(len(fewer), _DELETED, dtype=np.int32)]
-    return np.r_[keys, fewer].view(np.int64), flags, len(keys) - need, int(wide.sum()), np.flatnonzero(wide)
+    sizes = np.diff(starts, append=n)
+    sums += mix((filled + _U(1)) * _P + seed)
+    keys = mix(sums)
+    # The segments with variants are the first ones.
+    k = int(np.searchsorted(filled, _U(u)))
+    wide = np.flatnonzero(sizes[:k] >= 2)
+    fewer = [mix(sums[i] - value[starts[i] : starts[i] + sizes[i]]) for i in wide.tolist()]
+    flags = np.zeros(len(keys) + sum(map(len, fewer)), dtype=np.int32)
+    flags[len(keys) :] = _DELETED
+    return np.concatenate([keys, *fewer]).view(np.int64), flags, len(keys) - need, len(wide), wide
+
+
+#: What a filed row tells in one number: the size above 32 bits, the band and the marks above 22,
+#: the number of doubled segments above 16, and the spare ones, shifted.
+_SPARE, _DOUBLED = 1 << 15, 63
+
+
+def _info(n: int, flags: np.ndarray, spare: int, doubled: int) -> np.ndarray:
+    """Fewer spare or doubled segments than there are only let a set drop less."""
+    rest = min(doubled, _DOUBLED) << 16 | min(max(spare, -_SPARE), _SPARE - 1) + _SPARE
+    return flags.astype(np.int64) << 22 | (n << 32 | rest)
 
 
-_FILED = "key bigint, sid bigint, n int, flags int, spare int, parities array<bigint>"
+_FILED = "key bigint, sid bigint, info bigint, parities array<bigint>"
 
 
-def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything: bool = False) -> DataFrame:
+def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything: bool = False, seed: int = 0) -> DataFrame:
     """Rows of all sets: a member row for each document (key is its doc_id, with the parities of
-    its set), and what its set files, once for each set and task. ``flags`` holds the band above the marks; ``spare``
-    packs both numbers of ``signatures``. With ``everything``, each shingle is filed."""
+    its set), and what its set files, once for each set and task. ``info`` is packed, as a row is sorted for each
+    shingle or two. With ``everything``, each shingle is filed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -164,39 +196,36 @@ def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything:
         size = 0
 
         def batch() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            member = columns[3] == _MEMBER
-            widths = np.zeros(len(member), dtype=np.int32)
-            widths[member] = [len(x) for x in odd]
-            ends = pa.array(np.r_[0, np.cumsum(widths)], type=pa.int32())
+            keys, sids, infos = (np.concatenate(c) for c in zip(*held, strict=True))
+            member = infos >> 22 & _MEMBER != 0
+            widths = np.zeros(len(member) + 1, dtype=np.int32)
+            widths[1:][member] = [len(x) for x in odd]
+            ends = pa.array(np.cumsum(widths, dtype=np.int32))
             packed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(odd) if odd else [], type=pa.int64()), mask=pa.array(~member))
-            columns = [pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*columns, packed], names=["key", "sid", "n", "flags", "spare", "parities"])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sids), pa.array(infos), packed], names=["key", "sid", "info", "parities"])
 
-        def put(keys, sid, n, flags, spare) -> None:
-            k = len(keys)
-            held.append([keys, np.full(k, sid, dtype=np.int64), np.full(k, n, dtype=np.int32), flags.astype(np.int32), np.full(k, spare, dtype=np.int32)])
+        def put(keys, sid, info) -> None:
+            held.append([keys, np.full(len(keys), sid, dtype=np.int64), info])
 
         for part in batches:
             for doc, body in zip(part.column(0).to_numpy(zero_copy_only=False), part.column(1), strict=True):
                 s = shingle_set(body.as_py())
-                sid, n = set_id(s), len(s)
-                put(np.array([doc], dtype=np.int64), sid, n, np.array([_MEMBER]), 0)
-                odd.append(parities(s))
+                spread = _spread(s, seed)
+                sid, n = set_id(s, seed, spread), len(s)
+                put(np.array([doc], dtype=np.int64), sid, _info(n, np.array([_MEMBER]), 0, 0))
+                odd.append(parities(s, spread))
                 size += 1
                 if n and sid not in done:
                     done.add(sid)
                     band = n.bit_length() - 1
                     for b in (band, band + 1) if n * DEN // NUM >= 2 << band else (band,):
-                        visitor = 0 if b == band else _VISITOR
                         if everything:
                             keys, flags, spare, doubled = mix(s ^ _U(b + 77)).view(np.int64), np.zeros(n, dtype=np.int32), 0, 0
                         else:
                             keys, flags, spare, doubled, wide = signatures(s, b)
                             flags[wide] = _WIDE
-                        short = _SHORT if spare + doubled < 0 else 0
-                        put(keys, sid, n, flags | visitor | short | (b << _BAND), (min(max(spare, -32768), 32767) << 15) | min(doubled, 32767))
+                        flags |= (0 if b == band else _VISITOR) | (_SHORT if spare + doubled < 0 else 0) | b << _BAND
+                        put(keys, sid, _info(n, flags, spare, doubled))
                         size += len(keys)
                 if size >= 1 << 17:
                     yield batch()
@@ -213,12 +242,18 @@ def filed(docs: DataFrame, text: str = "text", key: str = "doc_id", everything:
 def _shared(rows: DataFrame) -> DataFrame:
     """Member rows, and filed rows whose key at least two sets have or whose set lacks the
     guarantee, with ``met`` (rows of the key)."""
-    rows = rows.withColumn("member", F.col("flags").bitwiseAND(_MEMBER) != 0).repartition("key")
+    flags = F.shiftright("info", 22).bitwiseAND(1023).cast("int")
+    rows = rows.repartition("key").withColumn("member", F.shiftright("info", 22).bitwiseAND(_MEMBER) != 0)
     w = Window.partitionBy("key", "member")
     rows = rows.withColumn("met", F.count("*").over(w).cast("int"))
     rows = rows.withColumn("low", F.min("sid").over(w)).withColumn("high", F.max("sid").over(w))
-    short = F.col("flags").bitwiseAND(_SHORT) != 0
-    return rows.where(F.col("member") | (F.col("low") < F.col("high")) | short).drop("low", "high")
+    short = flags.bitwiseAND(_SHORT) != 0
+    rows = rows.where(F.col("member") | (F.col("low") < F.col("high")) | short)
+    return rows.select(
+        "key", "sid", F.shiftright("info", 32).cast("int").alias("n"), flags.alias("flags"),
+        (F.col("info").bitwiseAND(2 * _SPARE - 1) - _SPARE).cast("int").alias("spare"),
+        F.shiftright("info", 16).bitwiseAND(_DOUBLED).cast("int").alias("doubled"), "parities", "member", "met",
+    )
 
 
 def _allocated(shared: DataFrame) -> DataFrame:
@@ -233,8 +268,7 @@ def _allocated(shared: DataFrame) -> DataFrame:
         (F.col("flags").bitwiseAND(_DELETED) != 0).alias("deleted"),
         (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"),
         (F.col("flags").bitwiseAND(_WIDE) != 0).alias("wide"),
-        F.shiftright("spare", 15).alias("spare"),
-        F.col("spare").bitwiseAND(32767).alias("doubled"),
+        "spare", "doubled",
     )
     own = Window.partitionBy("sid", "band")
     order = own.orderBy("deleted", F.desc("met"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -289,6 +323,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def looked_up(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join with a table that has each key once. A key of more than a ten thousandth of all
+    rows on the left is no hot group: there are fewer than ``HEAVY`` such keys, whatever the table, so
+    that their rows on the right are broadcast. The left side is read three times: stash it."""
+    counts = left.groupBy(key).count()
+    most = max(100, left.count() // HEAVY)
+    heavy = stash(counts.where(F.col("count") > most).select(key), "join-heavy")
+    if heavy.isEmpty():
+        return left.join(right, key, "left")
+    marked = left.join(F.broadcast(heavy.withColumn("__hot", F.lit(True))), key, "left")
+    hot = stash(right.join(F.broadcast(heavy), key, "left_semi"), "join-heavy")
+    many = marked.where("__hot").drop("__hot").join(F.broadcast(hot), key, "left")
+    return many.unionByName(marked.where("__hot IS NULL").drop("__hot").join(right, key, "left"))
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels of ``components`` (stashed) after further edges. Only edges between different
+    components count, and only the components they join are labelled again."""
+    at = lambda c: labels.select(F.col("sid").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = edges.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    between = between.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b")
+    between = stash(between.distinct(), "join-between")
+    if between.isEmpty():
+        return labels
+    more = components(between)
+    moved = looked_up(labels, more.select(F.col("sid").alias("comp"), F.col("comp").alias("to")), "comp")
+    fresh = more.join(labels.select("sid"), "sid", "left_anti")
+    return stash(moved.select("sid", F.coalesce("to", "comp").alias("comp")).unionByName(fresh.select("sid", "comp")), "join-labels")
+
+
 def _plausible(a: str, b: str, num: int = NUM, den: int = DEN):
     """Whether sets of these parities and fitting sizes may reach a similarity; loses no pair that
     does. The longer parities, if any, have twice the words of the others."""
@@ -374,7 +438,12 @@ def _within(family: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all links among sets that share a key. Deletes
-    ``rows``, which is stashed. ``fetch`` gives the sets of pairs, stashed.
+    ``rows``, which is stashed. ``fetch`` gives the sets of pairs, stashed."""
+    return linked(rows, fetch, known)[0]
+
+
+def linked(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges of ``links``, and the labels of their components.
 
     First each set meets its leader. Sets half-like one leader are its family; in a family of
     ``CROWD`` or more, where nearly all share keys, blocks are compared. All other sets of
@@ -391,9 +460,9 @@ def links(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataF
     large = kin.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD)
     kin = kin.join(large.select("family"), "family").union(large.select("family", F.col("family").alias("sid")))
     kin = stash(kin.distinct(), "join-families")
-    found = found.unionByName(stash(_within(kin, labels, sets), "join-links"))
+    inside = stash(_within(kin, labels, sets), "join-links")
     drop_stash(sets)
-    labels = components(found)
+    labels = extended(labels, inside)
     now = rows.drop("weight").join(kin.groupBy("sid").agg(F.min("family").alias("family")), "sid", "left")
     now = now.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     # What has one unit is one component or a family that is done; keys with one unit go. Both
@@ -406,12 +475,12 @@ def links(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataF
     rest = stash(_pairs(now.join(known.select("sid", "parities"), "sid")).distinct(), "join-rest")
     drop_stash(now)
     sets = fetch(rest)
-    found = stash(found.unionByName(verified(rest, sets)), "join-links")
+    last = stash(verified(rest, sets), "join-links")
     drop_stash(sets)
-    return found
+    return found.unionByName(inside).unionByName(last), extended(labels, last)
 
 
-def sets_of(docs: DataFrame, known: DataFrame, pairs: DataFrame, unique: bool, text: str = "text", key: str = "doc_id") -> DataFrame:
+def sets_of(docs: DataFrame, known: DataFrame, pairs: DataFrame, unique: bool, text: str = "text", key: str = "doc_id", seed: int = 0) -> DataFrame:
     """(sid, s) of the set ids in pairs (a, b), stashed: the shingles of one document of each.
     Texts that share a doc_id may give a set twice, unless each doc_id is ``unique``."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
@@ -420,7 +489,7 @@ def sets_of(docs: DataFrame, known: DataFrame, pairs: DataFrame, unique: bool, t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             found = [shingle_set(t) for t in part["text"]]
-            yield pd.DataFrame({"sid": [set_id(s) for s in found], "s": [s.view(np.int64) for s in found]})
+            yield pd.DataFrame({"sid": [set_id(s, seed) for s in found], "s": [s.view(np.int64) for s in found]})
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(first, "doc_id", "left_semi")
     found = rows.select("text").mapInPandas(run, "sid bigint, s array<bigint>")
@@ -434,26 +503,39 @@ def joined(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     shingle. Null, empty and wordless texts have no shingle and no link. A null doc_id is
     linked with nothing and has a null component. Rows that share a doc_id are one node with
     the links of all its texts; each keeps its own n_shingles. Sets are told apart by 64-bit
-    hashes of their 64-bit shingle hashes. Only the key and the text are read.
+    hashes of their 64-bit shingle hashes; should two sets share one (their sizes and parities
+    tell), all is done again with other hashes. Very long texts are one set. Only the key and the
+    text are read; an empty table gives an empty one.
     """
-    shared = stash(_shared(filed(docs, text, key)), "join-filed")
+    seed = 0
+    while True:
+        shared = stash(_shared(filed(docs, text, key, seed=seed)), "join-filed")
+        members = stash(shared.where("member").select(F.col("key").alias("doc_id"), "sid", "n", "parities"), "join-members")
+        content = F.xxhash64("n", "parities")
+        known = members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parities").alias("parities"), (F.min(content) < F.max(content)).alias("clash"))
+        known = stash(known, "join-known")
+        if known.where("clash").isEmpty():
+            break
+        seed += 1
+    known = known.drop("clash")
     rows = stash(_allocated(shared), "join-rows")
-    members = stash(shared.where("member").select(F.col("key").alias("doc_id"), "sid", "n", "parities"), "join-members")
-    known = stash(members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parities").alias("parities")), "join-known")
     short = stash(filed_short(shared), "join-few")
     drop_stash(shared)
     unique = members.groupBy("doc_id").count().where("count > 1").isEmpty()
-    fetch = lambda pairs: sets_of(docs, known, pairs, unique, text, key)
-    found = links(rows, fetch, known)
+    fetch = lambda pairs: sets_of(docs, known, pairs, unique, text, key, seed)
+    labels = linked(rows, fetch, known)[1]
     if not short.isEmpty():
-        found = stash(found.unionByName(_short_links(docs, fetch, known, short, text, key)), "join-links")
-    # A doc_id with several texts joins their sets.
-    several = members.where("n > 0").groupBy("doc_id").agg(F.min("sid").alias("a"), F.collect_set("sid").alias("all")).where(F.size("all") > 1)
-    found = found.unionByName(several.select("a", F.explode("all").alias("b")).where("a <> b"))
-    labels = components(found) if not found.isEmpty() else found.select(F.col("a").alias("sid"), F.col("b").alias("comp"))
-    groups = members.join(labels, "sid", "left").select("doc_id", "n", "sid", F.coalesce("comp", "sid").alias("comp"))
-    least = groups.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = groups.join(least, "comp", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        labels = extended(labels, stash(_short_links(docs, fetch, known, short, text, key, seed), "join-links"))
+    if not unique:
+        # A doc_id with several texts joins their sets.
+        several = members.where("n > 0").groupBy("doc_id").agg(F.min("sid").alias("a"), F.collect_set("sid").alias("all")).where(F.size("all") > 1)
+        labels = extended(labels, stash(several.select("a", F.explode("all").alias("b")).where("a <> b"), "join-links"))
+    # The smallest doc_id goes from sets to components, back to sets, and to the documents.
+    placed = stash(known.select("sid", "doc_id").join(labels, "sid", "left").select("sid", "doc_id", F.coalesce("comp", "sid").alias("comp")), "join-placed")
+    least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    placed = looked_up(placed, least, "comp").select("sid", "component_id")
+    out = looked_up(members.select("doc_id", "sid", "n"), placed, "sid")
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     lost = docs.where(F.col(key).isNull()).select(F.col(text).alias("text"))
 
     @F.pandas_udf("long")
@@ -469,9 +551,9 @@ def filed_short(shared: DataFrame) -> DataFrame:
     return shared.where(~F.col("member") & (F.col("flags").bitwiseAND(_SHORT) != 0)).select("sid").distinct()
 
 
-def _short_links(docs: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
+def _short_links(docs: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame, short: DataFrame, text: str, key: str, seed: int = 0) -> DataFrame:
     """Links of such sets: a second pass in which every shingle is a segment of its own."""
-    rows = _shared(filed(docs, text, key, everything=True)).where(~F.col("member"))
+    rows = _shared(filed(docs, text, key, everything=True, seed=seed)).where(~F.col("member"))
     rows = rows.dropDuplicates(["key", "sid", "flags"]).select("key", "sid", "n", F.shiftright("flags", _BAND).alias("band"), (F.col("flags").bitwiseAND(_VISITOR) != 0).alias("visitor"), F.lit(False).alias("deleted"), F.lit(True).alias("active"), F.col("sid").alias("comp"), F.col("sid").alias("unit"))
     rows = rows.join(known.select("sid", "parities"), "sid")
     few = rows.join(short, "sid", "left_semi")
