@@ -391,13 +391,14 @@ def _led(rows: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
-def _within(family: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _within(family: DataFrame, labels: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
     """Links inside large families, those that join two components and no others. A family is
     cut into blocks of about ``BLOCK`` shingles and each pair of blocks compared in one task, so
     that pairs never become rows."""
-    sized = family.join(sets, "sid").select("family", "sid", "s").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum(F.size("s")) / BLOCK).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+    sized = stash(family.join(known.select("sid", "n"), "sid").select("family", "sid", "n"), "join-sized")
+    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = looked_up(sized, blocks, "family").join(sets, "sid").join(labels, "sid", "left")
+    dealt = dealt.withColumn("comp", F.coalesce("comp", "sid")).withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "s")
 
@@ -460,7 +461,7 @@ def linked(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: Data
     large = kin.groupBy("family").agg(F.count("*").alias("size")).where(F.col("size") >= CROWD)
     kin = kin.join(large.select("family"), "family").union(large.select("family", F.col("family").alias("sid")))
     kin = stash(kin.distinct(), "join-families")
-    inside = stash(_within(kin, labels, sets), "join-links")
+    inside = stash(_within(kin, labels, sets, known), "join-links")
     drop_stash(sets)
     labels = extended(labels, inside)
     now = rows.drop("weight").join(kin.groupBy("sid").agg(F.min("family").alias("family")), "sid", "left")

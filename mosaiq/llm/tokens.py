@@ -14,11 +14,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stash
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths are summed in blocks of so many, so that no task sees the whole histogram.
 BLOCK = 1024
+#: Context limits and shares of documents that the query answers beside every length that occurs.
+LIMITS = tuple(1 << k for k in range(7, 21))
+FRACTIONS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 
 
 def token_count(spark, text: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Column:
@@ -42,9 +47,17 @@ def token_count(spark, text: Column, vocabulary: str = VOCABULARY, pattern: str
 
 def histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(n_tokens, n_docs): how many documents have each encoded length. Null and empty texts
-    count as length 0; repeated rows count each; an empty table gives no rows."""
+    count as length 0; long texts are encoded whole; repeated rows count each; only the text is
+    read of the columns; an empty table gives no rows. Stashed, so that texts are encoded once."""
     counted = docs.select(token_count(docs.sparkSession, F.col(text), vocabulary).alias("n_tokens"))
-    return counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    return stash(counted.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "token-histogram")
+
+
+def with_limits(hist: DataFrame, limits: Iterable[int] = LIMITS) -> DataFrame:
+    """The histogram with a row of 0 documents for each limit that no document has. An empty one stays empty."""
+    limits = hist.sparkSession.createDataFrame([(int(m), 0) for m in limits], "n_tokens bigint, n_docs bigint")
+    every = hist.unionByName(limits).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return every if not hist.isEmpty() else hist
 
 
 def with_sums(hist: DataFrame) -> DataFrame:
@@ -82,6 +95,14 @@ def with_sums(hist: DataFrame) -> DataFrame:
     )
 
 
+def with_quantiles(sums: DataFrame, fractions: Iterable[float] = FRACTIONS) -> DataFrame:
+    """Add ``quantile_of``: the shares of documents for which a length is the smallest within which
+    so many lie."""
+    total, before = F.col("docs_within") + F.col("docs_over"), F.col("docs_within") - F.col("n_docs")
+    reached = lambda f: (F.col("docs_within") >= f * total) & (before < f * total)
+    return sums.withColumn("quantile_of", F.filter(F.array(*(F.lit(float(f)) for f in fractions)), reached))
+
+
 def quantiles(sums: DataFrame, fractions: Iterable[float]) -> DataFrame:
     """(fraction, n_tokens): the smallest length within which that share of documents lies."""
     share = F.col("docs_within") / (F.col("docs_within") + F.col("docs_over"))
@@ -105,4 +126,5 @@ def truncated_totals(sums: DataFrame, limits: Iterable[int]) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return with_sums(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")))
+    counted = histogram(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
+    return with_quantiles(with_sums(with_limits(counted)))

@@ -200,6 +200,34 @@ def test_quality_repeats(spark):
     assert r["n_repeat_words"] == 10
 
 
+def test_quality_order(spark):
+    """Cheap and rejecting rules go first, each judged on what is left; the order is the same in
+    every run and never changes the verdict."""
+    r = random.Random(4)
+    rows = [(k, passage(k, 30) + (" " + "#" * 27 if r.random() < 0.5 else "") + ("".join(f"\n- {j} x" for j in range(60)) if r.random() < 0.2 else "")) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = quality.default_rules()
+    names = [[x.name for x in quality.ordered(quality.measured(quality.sampled(docs, 100)), rules)] for _ in range(3)]
+    assert names[0] == names[1] == names[2] and names[0][0] == "symbols" and names[0].index("letters") > names[0].index("word_length")
+    want = {x["doc_id"]: x["kept"] for x in quality.judged(docs, rules).collect()}
+    for other in (rules[::-1], rules[3:] + rules[:3]):
+        kept = quality.measured(docs)
+        verdict = F.when(F.col("base_failed"), F.lit(False))
+        for rule in other:
+            verdict = verdict.when(rule.rejects, F.lit(False))
+        assert {x["doc_id"]: x["kept"] for x in kept.withColumn("kept", verdict.otherwise(F.lit(True))).collect()} == want
+
+
+def test_token_limits_and_quantiles(spark):
+    """Rows for limits that no document has, and the lengths that are quantiles."""
+    hist = spark.createDataFrame([(3, 5), (7, 4), (2000, 1)], "n_tokens long, n_docs long")
+    out = {r["n_tokens"]: r for r in tokens.with_quantiles(tokens.with_sums(tokens.with_limits(hist, [5, 7, 4096])), [0.5, 0.6, 1.0]).collect()}
+    lengths = [3] * 5 + [7] * 4 + [2000]
+    assert {k: r["truncated_total"] for k, r in out.items()} == {k: sum(min(x, k) for x in lengths) for k in (3, 5, 7, 2000, 4096)}
+    assert {k: list(r["quantile_of"]) for k, r in out.items()} == {3: [0.5], 5: [], 7: [0.6], 2000: [1.0], 4096: []}
+    assert tokens.with_limits(hist.limit(0)).count() == 0
+
+
 def test_token_histogram(spark, odd, none):
     import base64
 
