@@ -44,3 +44,11 @@ def radius(names: list[str]) -> Column:
 
 def hyperboloid(names: list[str]) -> Column:
     return -reduce(lambda a, b: a * b, (F.col(n) + 1 for n in names))
+
+
+def diagonal_flags(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """(keys, diag, coded, last) for the diagonals up to the last with a value that isn't 0."""
+    some = df.groupBy(*keys, "diag").agg(F.max(F.col(value) != 0).alias("coded"))
+    end = F.max(F.when(F.col("coded"), F.col("diag"))).over(Window.partitionBy(*keys))
+    out = some.withColumn("__end", end).withColumn("last", F.coalesce(F.col("diag") == F.col("__end"), F.lit(False)))
+    return out.where(F.col("__end").isNull() | (F.col("diag") <= F.col("__end"))).select(*keys, "diag", "coded", "last")

@@ -53,12 +53,14 @@ def _next(cell: str, along: str, other: str) -> str:
 
 
 NEIGHBOURS = f"{_next('v', 'x', 'y')} + {_next('v', 'y', 'x')}"
-DC = "c AS (SELECT vec_id, CAST(floor(sum(v * (CAST(x = 0 AS INTEGER) + CAST(y = 0 AS INTEGER))) / 16.0) AS BIGINT) AS dc FROM b GROUP BY vec_id)"
-MODES = f"""{BLK}, {DC}, m AS (
-  SELECT vec_id, 0 AS mode, CAST(sum(v * v) AS BIGINT) AS sse FROM b GROUP BY vec_id
-  UNION ALL SELECT vec_id, 1, CAST(sum((v - dc) * (v - dc)) AS BIGINT) FROM b JOIN c USING (vec_id) GROUP BY vec_id
-  UNION ALL SELECT a.vec_id, 2, CAST(sum((a.v - o.v) * (a.v - o.v)) AS BIGINT) FROM b a JOIN b o ON a.vec_id = o.vec_id AND a.x = o.x AND o.y = 0 GROUP BY a.vec_id
-  UNION ALL SELECT a.vec_id, 3, CAST(sum((a.v - o.v) * (a.v - o.v)) AS BIGINT) FROM b a JOIN b o ON a.vec_id = o.vec_id AND a.y = o.y AND o.x = 0 GROUP BY a.vec_id)"""
+FACES = f"""{BLK}, n AS (SELECT DISTINCT vec_id, vec_id % 16 > 0 AS l, vec_id >= 16 AS t FROM b), i AS (SELECT CAST(i AS INTEGER) AS i FROM range(8) r(i)),
+f AS (SELECT n.vec_id, i, coalesce(CASE WHEN l THEN (SELECT v FROM b WHERE b.vec_id = n.vec_id - 1 AND x = 7 AND y = i) WHEN t THEN (SELECT v FROM b WHERE b.vec_id = n.vec_id - 16 AND x = 0 AND y = 7) END, 0) AS le,
+      coalesce(CASE WHEN t THEN (SELECT v FROM b WHERE b.vec_id = n.vec_id - 16 AND x = i AND y = 7) WHEN l THEN (SELECT v FROM b WHERE b.vec_id = n.vec_id - 1 AND x = 7 AND y = 0) END, 0) AS te FROM n, i),
+c AS (SELECT vec_id, CAST(floor(sum(le + te) / 16.0) AS BIGINT) AS dc FROM f GROUP BY vec_id),
+g AS (SELECT vec_id, i, (coalesce(lag(le) OVER w, le) + 2 * le + coalesce(lead(le) OVER w, le)) / 4.0::DOUBLE AS le, (coalesce(lag(te) OVER w, te) + 2 * te + coalesce(lead(te) OVER w, te)) / 4.0::DOUBLE AS te FROM f WINDOW w AS (PARTITION BY vec_id ORDER BY i))"""
+PRED = f"""{FACES}, p AS (SELECT b.vec_id, x, y, v, dc, h.le AS across, k.te AS down, (h.le + k.te) / 2 AS planar FROM b JOIN c USING (vec_id) JOIN g h ON h.vec_id = b.vec_id AND h.i = y JOIN g k ON k.vec_id = b.vec_id AND k.i = x)"""
+MODES = f"""{PRED}, m AS (SELECT vec_id, CAST(mode AS INTEGER) AS mode, round(sum((v - q) * (v - q)), 4) AS sse
+  FROM (SELECT vec_id, v, unnest(range(5)) AS mode, unnest([0.0::DOUBLE, dc::DOUBLE, planar, across, down]) AS q FROM p) GROUP BY vec_id, mode)"""
 SADS = f"""{VIEWS}, g AS (SELECT shift, CAST(sum(abs(a.v - o.v)) AS BIGINT) AS sad FROM (SELECT unnest(range(-2, 3)) AS shift) z, v a, v o
   WHERE o.view = a.view + 1 AND o.y = a.y AND a.x = (o.x - shift + 8) % 8 GROUP BY shift)"""
 CLAMP = "greatest(0, least(255, {}))"
@@ -96,9 +98,13 @@ SQL = {
     "zero_balance": f"WITH {SCAN} SELECT vec_id, diag, CAST(sum(CASE WHEN v = 0 THEN 1 ELSE -1 END) AS BIGINT) AS balance FROM s GROUP BY vec_id, diag",
     "last_diag": f"WITH {SCAN} SELECT vec_id, max(diag) FILTER (WHERE v <> 0) AS last_diag, count(DISTINCT diag) FILTER (WHERE v <> 0) AS n_diags FROM s GROUP BY vec_id",
     "neighbour_ctx": f"WITH {SCAN} SELECT vec_id, x, y, {NEIGHBOURS} AS significant FROM s",
-    "coef_symbols": f"WITH {SCAN} SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY diag DESC, y, x) - 1 AS rank, {NEIGHBOURS} AS significant, abs(v) > 0 AS sig, abs(v) > 1 AS gt1, abs(v) > 2 AS gt2, greatest(abs(v) - 3, 0) AS level, v < 0 AS negative FROM s",
+    "coef_symbols": f"WITH {SCAN}, n AS (SELECT *, {NEIGHBOURS} AS significant, bool_or(v <> 0) OVER (PARTITION BY vec_id, diag) AS coded FROM s) SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY diag DESC, y, x) - 1 AS rank, significant, abs(v) > 0 AS sig, abs(v) > 1 AS gt1, abs(v) > 2 AS gt2, greatest(abs(v) - 3, 0) AS level, v < 0 AS negative FROM n WHERE coded",
     "lowpass_121": f"WITH {LOW} SELECT vec_id, x, y, (coalesce(lag(v) OVER c, v) + 2 * v + coalesce(lead(v) OVER c, v)) / 16.0::DOUBLE AS v FROM h WINDOW c AS (PARTITION BY vec_id, x ORDER BY y)",
-    "dc_predict": f"WITH {BLK}, {DC} SELECT vec_id, dc FROM c",
+    "dc_predict": f"WITH {FACES} SELECT vec_id, dc FROM c",
+    "planar": f"WITH {PRED} SELECT vec_id, x, y, round(planar, 6) AS planar FROM p",
+    "directional": f"WITH {PRED} SELECT vec_id, x, y, round(across, 6) AS across, round(down, 6) AS down FROM p",
+    "residual": f"WITH {PRED} SELECT vec_id, x, y, round(v - planar, 6) AS residual, v::DOUBLE AS again FROM p",
+    "diag_flags": f"WITH {SCAN}, d AS (SELECT vec_id, diag, bool_or(v <> 0) AS coded FROM s GROUP BY vec_id, diag), e AS (SELECT *, max(diag) FILTER (WHERE coded) OVER (PARTITION BY vec_id) AS z FROM d) SELECT vec_id, diag, coded, coalesce(diag = z, false) AS last FROM e WHERE z IS NULL OR diag <= z",
     "sse": f"WITH {MODES} SELECT vec_id, mode, sse FROM m",
     "best_mode": f"WITH {MODES} SELECT vec_id, mode, sse FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sse, mode) AS n FROM m) WHERE n = 1",
     "sad_views": f"WITH {SADS} SELECT shift, sad FROM g",

@@ -208,29 +208,67 @@ def neighbour_ctx(s, d):
 
 
 def coef_symbols(s, d):
-    """The binary decisions of each coefficient, in coding order, with their context."""
+    """The binary decisions of each coefficient, in coding order, with their context. Diagonals
+    without a coefficient are not coded."""
     b = statistics.significant_neighbours(scanned(s, d), K, ["x", "y"])
-    b = scans.coding_order(b.drop("rank"), K, ["x", "y"])
+    some = F.max(F.col("v") != 0).over(Window.partitionBy("vec_id", "diag"))
+    b = b.withColumn("some", some).where("some")
+    b = scans.coding_order(b.drop("rank", "some"), K, ["x", "y"])
     a = F.abs("v")
     return b.select("vec_id", "rank", "significant", (a > 0).alias("sig"), (a > 1).alias("gt1"), (a > 2).alias("gt2"), F.greatest(a - 3, F.lit(0)).alias("level"), (F.col("v") < 0).alias("negative"))
 
 
+def diag_flags(s, d):
+    """The flags before the coefficients: whether each diagonal has any, up to the last that has, and
+    for those that have whether it is the last."""
+    return scans.diagonal_flags(scanned(s, d), K)
+
+
 def lowpass_121(s, d):
     return prediction.low_pass(block(s, d), K, ["x", "y"]).select("vec_id", "x", "y", "v")
 
 
+#: Blocks beside each other in the image that all embeddings make, by vec_id.
+ACROSS = 16
+
+
+def _beside(s, d) -> DataFrame:
+    samples = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda e: F.round(e.cast("double") * 256).cast("int")).alias("v"))
+    return prediction.faces(samples, "vec_id", ACROSS, 8)
+
+
 def dc_predict(s, d):
-    return prediction.dc_prediction(block(s, d), K, ["x", "y"])
+    return prediction.dc_prediction(_beside(s, d), "vec_id", 8)
+
+
+def _predicted(s, d) -> DataFrame:
+    return block(s, d).select("vec_id", "x", "y", "v").join(prediction.predictions(_beside(s, d), "vec_id", 8), ["vec_id", "x", "y"])
+
+
+def planar(s, d):
+    return _rounded(_predicted(s, d).select("vec_id", "x", "y", "planar"), "planar")
+
+
+def directional(s, d):
+    """Directions (2, 0) and (0, 2)."""
+    return _rounded(_predicted(s, d).select("vec_id", "x", "y", "across", "down"), "across", "down")
+
+
+def residual(s, d):
+    """What is left after planar prediction, and the block again."""
+    p = _predicted(s, d)
+    out = p.select("vec_id", "x", "y", (F.col("v") - F.col("planar")).alias("residual"), (F.col("v") - F.col("planar") + F.col("planar")).alias("again"))
+    return _rounded(out, "residual", "again")
+
+
+MODES = ("none", "dc", "planar", "across", "down")
 
 
 def _modes(s, d) -> DataFrame:
-    """Errors of four ways to predict a block: nothing, its DC, the row and the column at 0."""
-    b = block(s, d).join(prediction.dc_prediction(block(s, d), K, ["x", "y"]), "vec_id")
-    b = b.withColumn("row", F.max(F.when(F.col("y") == 0, F.col("v"))).over(Window.partitionBy("vec_id", "x")))
-    b = b.withColumn("column", F.max(F.when(F.col("x") == 0, F.col("v"))).over(Window.partitionBy("vec_id", "y")))
-    candidates = F.array(F.lit(0).cast("long"), F.col("dc"), F.col("row").cast("long"), F.col("column").cast("long"))
-    rows = b.select("vec_id", "v", F.posexplode(candidates).alias("mode", "p"))
-    return rows.groupBy("vec_id", "mode").agg(statistics.sse(F.col("v"), F.col("p")).alias("sse"))
+    """Errors of the ways to predict a block: nothing, DC, planar, and the directions along an axis."""
+    rows = _predicted(s, d).select("vec_id", "v", F.posexplode(F.array(*MODES)).alias("mode", "p"))
+    error = rows.groupBy("vec_id", "mode").agg(F.sum((F.col("v") - F.col("p")) * (F.col("v") - F.col("p"))).alias("sse"))
+    return error.withColumn("sse", F.round("sse", 4))
 
 
 def sse(s, d):
@@ -348,7 +386,7 @@ def lossless_2d(s, d):
 NAMES = (
     "ycbcr_fwd ycbcr_inv ycocg_fwd ycocg_inv rct_fwd rct_roundtrip bit_depth quant_dct quant_dwt tile_pad tile_crop block_grid linear_index "
     "view_address dct_8x8 idct_8x8 dct_4d dct_energy dwt53_block idwt53_block dwt53_roundtrip diag_scan coding_order zigzag_2d traversal_by_ref "
-    "traversal_radius traversal_hyperboloid diag_occupancy last_diag neighbour_ctx zero_balance coef_symbols lowpass_121 dc_predict sse best_mode "
+    "traversal_radius traversal_hyperboloid diag_occupancy last_diag neighbour_ctx zero_balance coef_symbols diag_flags lowpass_121 dc_predict planar directional residual sse best_mode "
     "sad_views best_shift_grid shift_image psnr view_uniformity quality_scale diag_average table_copy run_length symbol_weights bucket_bounds "
     "suffix_types mtf_base bwt_short canonical_codes file_mask arith_roundtrip huffman_cost lossless_2d"
 ).split()
