@@ -4,7 +4,8 @@ streams run side by side."""
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections import Counter, deque
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from mosaiq.operators import color, transforms
 
+#: Updates a list after the symbol at a place was coded.
+Rule = Callable[[list[int], int], None]
+
 # The probability of the less probable symbol falls by this factor from state to state, from
 # 1/2 to 3/160 over 63 states (Marpe, Schwarz, Wiegand, 2003).
 _STATES = 64
@@ -234,26 +238,98 @@ def wavelet_roundtrip(blocks: DataFrame, keys: list[str], sizes: dict[str, int],
     return both.groupBy(*keys).agg(F.max("n_bytes").cast("long").alias("n_bytes"), F.count_if(F.col("v") != F.col("__o")).alias("wrong"))
 
 
-def move_to_front(df: DataFrame, keys: list[str], order: str, symbol: str, rule: Callable[[list[int], int], None] | None = None) -> DataFrame:
-    """The place of each symbol in a list that starts as 0, 1, 2, ... and grows on demand; then
-    ``rule(list, place)`` updates the list. Without a rule the symbol moves to the front."""
-    update = rule or (lambda line, at: line.insert(0, line.pop(at)))
+def _moved(line: list[int], at: int, to: int) -> None:
+    line.insert(to, line.pop(at))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+
+def _to_front() -> Rule:
+    return lambda line, at: _moved(line, at, 0)
+
+
+def _second_first() -> Rule:
+    """Only a symbol from the second place goes to the first; others go to the second."""
+    return lambda line, at: _moved(line, at, min(1, at - 1) if at else 0)
+
+
+def _two_seen() -> Rule:
+    """As before, but to the first place if its symbol is neither of the last two."""
+    seen = deque([0, 0], maxlen=2)
+
+    def update(line: list[int], at: int) -> None:
+        symbol = line[at]
+        _moved(line, at, 1 if at > 1 and line[0] in seen else 0)
+        seen.append(symbol)
+
+    return update
+
+
+def _sticky(part: float = 0.5) -> Rule:
+    """To a part of its place, rounded half up."""
+    return lambda line, at: _moved(line, at, int(at * part + 0.5))
+
+
+def _by_steps(steps: int = 2) -> Rule:
+    return lambda line, at: _moved(line, at, max(0, at - steps))
+
+
+def _after_count(least: int = 2) -> Rule:
+    """To the front once its count has come to ``least``; then the symbol at the old place counts."""
+    counts: Counter[int] = Counter()
+
+    def update(line: list[int], at: int) -> None:
+        if counts[line[at]] >= least:
+            _moved(line, at, 0)
+        counts[line[at]] += 1
+
+    return update
+
+
+#: Each makes a rule with memory of its own, for one sequence.
+RULES = {"front": _to_front, "m1ff": _second_first, "m1ff2": _two_seen, "sticky": _sticky, "steps": _by_steps, "count": _after_count}
+
+
+def places_of(symbols: Iterable[int], rule: Rule) -> list[int]:
+    """The place of each symbol in a list that starts as 0, 1, 2, ... and grows on demand."""
+    line: list[int] = []
+    found = []
+    for s in symbols:
+        if s >= len(line):
+            line += range(len(line), s + 1)
+        found.append(line.index(s))
+        rule(line, found[-1])
+    return found
+
+
+def symbols_of(places: Iterable[int], rule: Rule) -> list[int]:
+    """The inverse of ``places_of`` under the same rule."""
+    line: list[int] = []
+    found = []
+    for at in places:
+        if at >= len(line):
+            line += range(len(line), at + 1)
+        found.append(line[at])
+        rule(line, at)
+    return found
+
+
+def _by_sequence(df: DataFrame, keys: list[str], order: str, value: str, out: str, run: Callable[[list[int]], list[int]]) -> DataFrame:
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)
-        line: list[int] = []
-        found = []
-        for s in part[symbol]:
-            if s >= len(line):
-                line += range(len(line), s + 1)
-            at = line.index(s)
-            found.append(at)
-            update(line, at)
-        return part[[*keys, order]].assign(place=found)
+        return part[[*keys, order]].assign(**{out: run(part[value].tolist())})
 
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]) + ", place int"
-    return df.select(*keys, order, symbol).groupBy(*keys).applyInPandas(run, schema)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]) + f", {out} int"
+    return df.select(*keys, order, value).groupBy(*keys).applyInPandas(whole, schema)
+
+
+def move_to_front(df: DataFrame, keys: list[str], order: str, symbol: str, rule: str = "front") -> DataFrame:
+    """(keys, order, place): each sequence coded under one of ``RULES``. A sequence must fit a task."""
+    return _by_sequence(df, keys, order, symbol, "place", lambda s: places_of(s, RULES[rule]()))
+
+
+def move_from_front(df: DataFrame, keys: list[str], order: str, place: str = "place", rule: str = "front") -> DataFrame:
+    """(keys, order, symbol): the inverse."""
+    return _by_sequence(df, keys, order, place, "symbol", lambda p: symbols_of(p, RULES[rule]()))
 
 
 def code_lengths(weights: dict[int, int]) -> dict[int, int]:

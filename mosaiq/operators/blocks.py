@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +34,6 @@ def linear_index(coordinates: list[str], sizes: list[int]) -> Column:
     return out
 
 
-def strides(sizes: list[int]) -> list[int]:
-    return [math.prod(sizes[:k]) for k in range(len(sizes))]
-
-
 def num_diagonals(sizes: list[int]) -> int:
     return sum(s - 1 for s in sizes) + 1
 
@@ -75,6 +69,27 @@ def cropped(tiles: DataFrame, size: int, block: int, x: str = "i") -> DataFrame:
     return tiles.withColumn(x, F.col("tile") * block + F.col(x)).where(F.col(x) < size).drop("tile")
 
 
+def tiles(df: DataFrame, sizes: dict[str, int], step: dict[str, int]) -> DataFrame:
+    """Cut a signal of any number of dimensions into blocks of ``step``: adds ``tile_`` and the name of
+    each dimension. Blocks at the end are filled by the last sample along each dimension."""
+    out = df
+    for name, size in sizes.items():
+        top = -(-size // step[name]) * step[name]
+        last = F.sequence(F.lit(size - 1), F.lit(top - 1))
+        out = out.withColumn(name, F.explode(F.when(F.col(name) == size - 1, last).otherwise(F.array(F.col(name)))))
+    for name in sizes:
+        out = out.withColumn(f"tile_{name}", idiv(name, step[name])).withColumn(name, (F.col(name) % step[name]).cast("int"))
+    return out
+
+
+def joined_tiles(df: DataFrame, sizes: dict[str, int], step: dict[str, int]) -> DataFrame:
+    """The inverse of ``tiles``: what lies beyond ``sizes`` is dropped."""
+    out = df
+    for name, size in sizes.items():
+        out = out.withColumn(name, F.col(f"tile_{name}") * step[name] + F.col(name)).where(F.col(name) < size).drop(f"tile_{name}")
+    return out
+
+
 def view_address(image: str, side: int) -> list[Column]:
     """u and v of an image number in a square of views."""
     return [(F.col(image) % side).cast("int").alias("u"), idiv(image, side).alias("v")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def low_pass(df: DataFrame, keys: list[str], names: list[str], value: str = "v") -> DataFrame:
     """[1 2 1] along each dimension, ends repeated, divided by 4 for each dimension at the end."""
-    out = df.withColumn("__v", F.col(value).cast("long"))
+    out = df.repartition(*keys).withColumn("__v", F.col(value).cast("long"))
     for name in names:
         line = Window.partitionBy(*keys, *(n for n in names if n != name)).orderBy(name)
         near = F.coalesce(F.lag("__v").over(line), "__v") + F.coalesce(F.lead("__v").over(line), "__v")

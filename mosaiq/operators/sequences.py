@@ -48,6 +48,26 @@ def rotations(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("last", last).withColumn("primary", primary.cast("int")).drop("__r")
 
 
+def restored(last: Column, primary: Column) -> Column:
+    """The string whose rotations gave ``last`` and ``primary``: the sorted characters, each with its
+    place in ``last``, lead from one row to the next."""
+    order = F.sort_array(F.transform(F.split(last, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
+    start = F.struct(primary.cast("int").alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, row: Column) -> Column:
+        here = F.element_at(row, state["at"] + 1)
+        return F.struct(here["i"].alias("at"), F.concat(state["out"], here["c"]).alias("out"))
+
+    return F.when(F.length(last) == 0, "").otherwise(F.aggregate(F.array_repeat(order, F.length(last)), start, step)["out"])
+
+
+def suffix_array(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, rank, pos): suffixes of short strings in order. Work grows with the square of a string's length."""
+    every = F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda k: F.struct(F.substring(F.col(text), k + 1, F.length(text)).alias("s"), k.alias("k")))
+    rows = df.where(F.length(text) > 0).select(*keys, F.posexplode(F.sort_array(every)).alias("rank", "x"))
+    return rows.select(*keys, "rank", F.col("x.k").alias("pos"))
+
+
 def canonical_codes(lengths: DataFrame, keys: list[str], symbol: str, length: str = "length") -> DataFrame:
     """Codewords in the order of (length, symbol): the running sum of 2^-length, cut to length."""
     line = Window.partitionBy(*keys).orderBy(length, symbol).rowsBetween(Window.unboundedPreceding, -1)

@@ -20,8 +20,9 @@ def dct_basis(spark: SparkSession, n: int) -> DataFrame:
 
 def dct(df: DataFrame, keys: list[str], sizes: dict[str, int], value: str = "v", inverse: bool = False) -> DataFrame:
     """The D-dimensional transform, one dimension after another. The basis of a dimension has
-    size * size rows whatever the data, so it is broadcast; sums combine before the shuffle."""
-    names, out = list(sizes), df.withColumn(value, F.col(value).cast("double"))
+    size * size rows whatever the data, so it is broadcast. Blocks are dealt by ``keys`` once; all
+    sums find their rows in one task, so there is no other shuffle."""
+    names, out = list(sizes), df.repartition(*keys).withColumn(value, F.col(value).cast("double"))
     for name in names:
         basis = dct_basis(df.sparkSession, sizes[name])
         have, want = ("u", "x") if inverse else ("x", "u")
@@ -40,8 +41,8 @@ def _nearby(line: Window, value, edge):
 def dwt53(df: DataFrame, keys: list[str], sizes: dict[str, int], value: str = "v") -> DataFrame:
     """One level of the 5/3 wavelet by lifting, dimension by dimension: odd samples lose the
     rounded mean of their neighbours, even ones gain a quarter of the new neighbours; then the
-    even samples come first. Missing neighbours are 0."""
-    out = df
+    even samples come first. Missing neighbours are 0. One shuffle, by ``keys``."""
+    out = df.repartition(*keys)
     for name, n in sizes.items():
         line = Window.partitionBy(*keys, *(k for k in sizes if k != name)).orderBy(name)
         odd = F.col(name) % 2 == 1
@@ -54,7 +55,7 @@ def dwt53(df: DataFrame, keys: list[str], sizes: dict[str, int], value: str = "v
 
 def idwt53(df: DataFrame, keys: list[str], sizes: dict[str, int], value: str = "v") -> DataFrame:
     """The inverse: dimensions in reverse order, since the rounding of each depends on it."""
-    out = df
+    out = df.repartition(*keys)
     for name, n in reversed(sizes.items()):
         low = (n + 1) // 2
         out = out.withColumn(name, F.when(F.col(name) < low, 2 * F.col(name)).otherwise(2 * (F.col(name) - low) + 1))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+from mosaiq.operators import tables
+
 SIG = "sig AS (SELECT vec_id, i, CAST(round(CAST(embedding[i + 1] AS DOUBLE) * 256) AS INTEGER) AS v FROM embeddings, range(64) t(i))"
 BLK = f"{SIG}, b AS (SELECT vec_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, v FROM sig)"
 BLK4 = f"{SIG}, b AS (SELECT vec_id, CAST(i % 4 AS INTEGER) AS x, CAST(i // 4 % 4 AS INTEGER) AS y, CAST(i // 16 % 2 AS INTEGER) AS u, CAST(i // 32 AS INTEGER) AS w, v FROM sig)"
 SCAN = f"{BLK}, s AS (SELECT vec_id, x, y, v >> 4 AS v, x + y AS diag, row_number() OVER (PARTITION BY vec_id ORDER BY x + y, y, x) - 1 AS rank FROM b)"
 PIX = "p AS (SELECT CAST(l_partkey % 256 AS INTEGER) AS r, CAST(l_suppkey % 256 AS INTEGER) AS g, CAST(trunc(l_quantity) AS INTEGER) AS b FROM lineitem)"
-VIEWS = f"{BLK}, v AS (SELECT label AS view, x, y, v FROM b JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) USING (vec_id))"
+FIELDS = f"{BLK}, l AS (SELECT vec_id // 9 AS field, CAST(vec_id % 3 AS INTEGER) AS a, CAST(vec_id // 3 % 3 AS INTEGER) AS b, x, y, v FROM b)"
 SEQ = """k AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS symbol FROM (SELECT DISTINCT event_type FROM events)),
 q AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS ord, symbol, value FROM events JOIN k USING (event_type))"""
 WGT = f"{SEQ}, w AS (SELECT user_id, symbol, count(*) AS weight FROM q GROUP BY ALL)"
@@ -61,8 +63,26 @@ g AS (SELECT vec_id, i, (coalesce(lag(le) OVER w, le) + 2 * le + coalesce(lead(l
 PRED = f"""{FACES}, p AS (SELECT b.vec_id, x, y, v, dc, h.le AS across, k.te AS down, (h.le + k.te) / 2 AS planar FROM b JOIN c USING (vec_id) JOIN g h ON h.vec_id = b.vec_id AND h.i = y JOIN g k ON k.vec_id = b.vec_id AND k.i = x)"""
 MODES = f"""{PRED}, m AS (SELECT vec_id, CAST(mode AS INTEGER) AS mode, round(sum((v - q) * (v - q)), 4) AS sse
   FROM (SELECT vec_id, v, unnest(range(5)) AS mode, unnest([0.0::DOUBLE, dc::DOUBLE, planar, across, down]) AS q FROM p) GROUP BY vec_id, mode)"""
-SADS = f"""{VIEWS}, g AS (SELECT shift, CAST(sum(abs(a.v - o.v)) AS BIGINT) AS sad FROM (SELECT unnest(range(-2, 3)) AS shift) z, v a, v o
-  WHERE o.view = a.view + 1 AND o.y = a.y AND a.x = (o.x - shift + 8) % 8 GROUP BY shift)"""
+SADS = f"""{FIELDS}, z AS (SELECT CAST(s AS INTEGER) AS shift FROM range(-2, 3) t(s)), g AS (
+  SELECT m.field, 'x' AS axis, shift, CAST(sum(abs(m.v - o.v)) AS BIGINT) AS sad FROM z, l m JOIN l o ON o.field = m.field AND o.a = m.a + 1 AND o.b = m.b AND o.y = m.y
+  WHERE o.x = (m.x + shift + 8) % 8 GROUP BY ALL
+  UNION ALL SELECT m.field, 'y' AS axis, shift, CAST(sum(abs(m.v - o.v)) AS BIGINT) AS sad FROM z, l m JOIN l o ON o.field = m.field AND o.b = m.b + 1 AND o.a = m.a AND o.x = m.x
+  WHERE o.y = (m.y + shift + 8) % 8 GROUP BY ALL)"""
+BASE = "t AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, unnest(range(64)) AS i, unnest({q}) AS q" for n, q in (("luma", tables.LUMA), ("chroma", tables.CHROMA))) + "), e AS (SELECT name, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, q FROM t)"
+ODD = f"{BLK}, p AS (SELECT vec_id, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, v FROM range(9) r(i), range(9) c(j), b WHERE b.x = least(i, 7) AND b.y = least(j, 7))"
+
+
+def _basis(n: int, freq: str, place: str) -> str:
+    return f"(cos((2 * {place} + 1) * {freq} * pi() / {2 * n}) * {math.sqrt(2 / n)!r} * CASE WHEN {freq} = 0 THEN {math.sqrt(0.5)!r} ELSE 1 END)"
+
+
+def _golomb(value: str, k: int) -> str:
+    """The number of groups by a search, not by the length of a number."""
+    p = f"(SELECT max(n) FROM range(40) r(n) WHERE {value} >= ((1 << n) - 1) * {1 << k})"
+    rest = f"({value} - ((1 << {p}) - 1) * {1 << k})"
+    return f"repeat('1', CAST({p} AS INTEGER)) || '0' || CASE WHEN {p} + {k} = 0 THEN '' ELSE lpad(to_binary(CAST({rest} AS BIGINT)), CAST({p} + {k} AS INTEGER), '0') END"
+
+
 CLAMP = "greatest(0, least(255, {}))"
 LOW = f"""{BLK}, h AS (SELECT vec_id, x, y, coalesce(lag(v) OVER r, v) + 2 * v + coalesce(lead(v) OVER r, v) AS v FROM b WINDOW r AS (PARTITION BY vec_id, y ORDER BY x))"""
 
@@ -107,16 +127,39 @@ SQL = {
     "diag_flags": f"WITH {SCAN}, d AS (SELECT vec_id, diag, bool_or(v <> 0) AS coded FROM s GROUP BY vec_id, diag), e AS (SELECT *, max(diag) FILTER (WHERE coded) OVER (PARTITION BY vec_id) AS z FROM d) SELECT vec_id, diag, coded, coalesce(diag = z, false) AS last FROM e WHERE z IS NULL OR diag <= z",
     "sse": f"WITH {MODES} SELECT vec_id, mode, sse FROM m",
     "best_mode": f"WITH {MODES} SELECT vec_id, mode, sse FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sse, mode) AS n FROM m) WHERE n = 1",
-    "sad_views": f"WITH {SADS} SELECT shift, sad FROM g",
-    "best_shift_grid": f"WITH {SADS} SELECT shift, sad FROM g ORDER BY sad, shift LIMIT 1",
-    "shift_image": f"WITH {VIEWS} SELECT view, (x - (view - 5) + 16) % 8 AS x, (y + (view - 5) + 16) % 8 AS y, v FROM v",
+    "sad_views": f"WITH {SADS} SELECT field, axis, shift, sad FROM g",
+    "best_shift_grid": f"WITH {SADS} SELECT field, axis, shift, sad FROM (SELECT *, row_number() OVER (PARTITION BY field, axis ORDER BY sad, shift) AS n FROM g) WHERE n = 1",
+    "shift_image": f"WITH {FIELDS} SELECT field, a, b, (x - (a - 1) + 8) % 8 AS x, (y + (b - 1) + 8) % 8 AS y, v FROM l",
     "psnr": f"WITH {PIX}, e AS (SELECT avg(((b % 3 - 1) * (b % 3 - 1))::DOUBLE) AS mse, 8.0::DOUBLE * sum(r) / count(*) AS bpp FROM p) SELECT round(mse, 6) AS mse, round(10 * log10(65025.0::DOUBLE / mse), 6) AS psnr, round(bpp, 6) AS bpp FROM e",
     "view_uniformity": f"WITH {BLK} SELECT count(DISTINCT (w, h)) <= 1 AS uniform FROM (SELECT max(x) AS w, max(y) AS h FROM b GROUP BY vec_id)",
-    "quality_scale": "WITH t AS (SELECT CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y FROM range(64) r(i)) SELECT x, y, "
-    + ", ".join(f"CAST(greatest(1, least(255, round((16 + 4 * x + 3 * y) * {f}::DOUBLE))) AS INTEGER) AS q{q}" for q, f in ((10, 5.0), (50, 1.0), (90, 0.2)))
-    + " FROM t",
+    "base_tables": f"WITH {BASE} SELECT name, x, y, q FROM e",
+    "quality_scale": f"WITH {BASE} SELECT name, x, y, "
+    + ", ".join(f"CAST(greatest(1, least(255, round(q * {f}::DOUBLE))) AS INTEGER) AS q{q}" for q, f in ((10, 5.0), (50, 1.0), (90, 0.2)))
+    + " FROM e",
+    "table_nearest": f"WITH {BLK} SELECT vec_id, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, v FROM range(11) r(i), range(6) c(j), b WHERE b.x = least(i, 7) AND b.y = j",
+    "table_by_dct": f"""WITH {BASE}, f AS (SELECT name, u, w, sum(q * {_basis(8, 'u', 'x')} * {_basis(8, 'w', 'y')}) AS c FROM e, range(8) r(u), range(6) k(w) GROUP BY ALL)
+SELECT name, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(round(sum(c * {_basis(11, 'u', 'x')} * {_basis(6, 'w', 'y')})) AS INTEGER) AS q FROM f, range(11) r(x), range(6) k(y) GROUP BY name, x, y""",
+    "table_bytes": f"WITH {SIG} SELECT vec_id, string_agg(printf('%02X', (v % 256 + 256) % 256), '' ORDER BY i) AS data, 128 AS n_bytes, true AS same FROM sig GROUP BY vec_id",
+    "traversal_quant": f"WITH {BASE} SELECT name, x, y, CAST(row_number() OVER (PARTITION BY name ORDER BY x + 8 * y <> 0, q, x + 8 * y) - 1 AS INTEGER) AS rank FROM e",
+    "traversal_diagonals": _rank(BLK, "x + 8 * y <> 0, x + y, x + 8 * y"),
+    "tile_pad_2d": f"WITH {BLK} SELECT vec_id, CAST(i // 3 AS INTEGER) AS tile_x, CAST(j // 5 AS INTEGER) AS tile_y, CAST(i % 3 AS INTEGER) AS x, CAST(j % 5 AS INTEGER) AS y, v FROM range(9) r(i), range(10) c(j), b WHERE b.x = least(i, 7) AND b.y = least(j, 7)",
+    "tile_crop_4d": f"WITH {BLK4} SELECT vec_id, x, y, u, w, v FROM b",
+    "dwt53_odd": f"WITH {ODD}, {_lift('fx', 'p', 'x', 'y', 9)}, {_lift('fy', 'fx', 'y', 'x', 9)} SELECT vec_id, x, y, v FROM fy",
+    "dwt53_odd_roundtrip": f"WITH {ODD} SELECT vec_id, x, y, v FROM p",
+    "golomb_codes": f"""WITH {SCAN}, a AS (SELECT DISTINCT abs(v) AS a FROM s), h AS (SELECT a, greatest(a - 3, 0) AS h FROM a),
+c AS (SELECT a, {_golomb('a', 0)} AS eg0, {_golomb('a', 2)} AS eg2, CASE WHEN a < 3 THEN repeat('1', CAST(a AS INTEGER)) || '0' ELSE '111' || {_golomb('h', 0)} END AS ueg0,
+  repeat('1', CAST(a // 4 AS INTEGER)) || '0' || lpad(to_binary(CAST(a % 4 AS BIGINT)), 2, '0') AS rice2 FROM h)
+SELECT vec_id, rank, eg0, eg2, ueg0, rice2 FROM s JOIN c ON c.a = abs(s.v)""",
+    "golomb_values": f"WITH {SCAN} SELECT vec_id, rank, CAST(abs(v) AS BIGINT) AS eg0, CAST(abs(v) AS BIGINT) AS eg2, CAST(abs(v) AS BIGINT) AS ueg0 FROM s",
+    "adaptive_rice": f"""WITH RECURSIVE {SIG}, m AS (SELECT vec_id, CAST(i AS INTEGER) AS i, abs(v >> 4) AS a FROM sig),
+k AS (SELECT vec_id, i, a, 0 AS k FROM m WHERE i = 0 UNION ALL
+  SELECT m.vec_id, m.i, m.a, CASE WHEN k.a > 3 * (1 << k.k) AND k.k < 4 THEN k.k + 1 ELSE k.k END FROM k JOIN m ON m.vec_id = k.vec_id AND m.i = k.i + 1)
+SELECT vec_id, i, repeat('1', CAST(a // (1 << k) AS INTEGER)) || '0' || CASE WHEN k = 0 THEN '' ELSE lpad(to_binary(CAST(a % (1 << k) AS BIGINT)), k, '0') END AS code FROM k""",
+    "mtf_rules": f"WITH {SEQ} SELECT user_id, rule, ord, symbol FROM q, (SELECT unnest(['front', 'm1ff', 'm1ff2', 'sticky', 'steps', 'count']) AS rule) r",
+    "bwt_inverse": "SELECT p_partkey, p_name FROM part WHERE length(p_name) > 0",
+    "suffix_array": "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY substr(p_name, CAST(k AS INTEGER) + 1)) - 1 AS INTEGER) AS rank, CAST(k AS INTEGER) AS pos FROM part, range(0, 1000) t(k) WHERE k < length(p_name)",
     "diag_average": f"WITH {BLK} SELECT vec_id, x, y, round(avg(v) OVER (PARTITION BY vec_id, x + y), 6) AS average FROM b",
-    "table_copy": f"WITH {SIG} SELECT vec_id, CAST(i AS INTEGER) AS x, CAST(y AS INTEGER) AS y, v FROM sig, range(8) t(y) WHERE i < 8",
+    "table_copy": f"WITH {SIG} SELECT vec_id, CAST(i AS INTEGER) AS x, CAST(y AS INTEGER) AS y, v FROM sig, range(8) t(y)",
     "run_length": f"WITH {SCAN}, z AS (SELECT vec_id, rank, rank - coalesce(lag(rank) OVER (PARTITION BY vec_id ORDER BY rank), -1) - 1 AS zeroes, v AS amplitude FROM s WHERE v <> 0) SELECT vec_id, rank, zeroes, amplitude, zeroes * 16 + CAST(floor(log2(abs(amplitude))) + 1 AS BIGINT) AS symbol FROM z",
     "symbol_weights": f"WITH {WGT} SELECT user_id, symbol, weight FROM w",
     "bucket_bounds": f"WITH {WGT} SELECT user_id, symbol, weight, CAST(sum(weight) OVER (PARTITION BY user_id ORDER BY symbol) AS BIGINT) - weight AS head, CAST(sum(weight) OVER (PARTITION BY user_id ORDER BY symbol) AS BIGINT) AS tail FROM w",

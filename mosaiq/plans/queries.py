@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import coding
 from mosaiq.functions.masks import filled_mask
-from mosaiq.operators import blocks, color, prediction, scans, sequences, statistics, transforms
+from mosaiq.operators import binarization, blocks, color, prediction, scans, sequences, statistics, tables, transforms
 
 XY, K = {"x": 8, "y": 8}, ["vec_id"]
 XYUW = {"x": 4, "y": 4, "u": 2, "w": 2}
@@ -50,20 +50,26 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), 6) + 0.0 for n in names})
 
 
-def views(s, d) -> DataFrame:
-    """The first block of each label as a view."""
-    b = block(s, d).join(table(s, d, "embeddings").select("vec_id", "label"), "vec_id")
-    first = table(s, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return b.join(first, ["label", "vec_id"]).select(F.col("label").alias("view"), "x", "y", "v")
+#: Views of a light field along each axis.
+SIDE = 3
+
+
+def light_fields(s, d) -> DataFrame:
+    """Nine embeddings in a row are the views of one light field: (field, a, b, v), views in a square, samples as an array."""
+    k = F.col("vec_id")
+    samples = F.transform("embedding", lambda e: F.round(e.cast("double") * 256).cast("int"))
+    return table(s, d, "embeddings").select(
+        F.floor(k / SIDE**2).alias("field"), (k % SIDE).cast("int").alias("a"), (F.floor(k / SIDE) % SIDE).cast("int").alias("b"), samples.alias("v")
+    )
 
 
 def sequence(s, d) -> DataFrame:
     """Event types of each user in order, as symbols."""
     e = table(s, d, "events").select("user_id", "event_id", "event_type", "value")
-    kinds = e.select("event_type").distinct()
-    kinds = kinds.join(kinds.select(F.col("event_type").alias("o")), F.col("o") < F.col("event_type"), "left").groupBy("event_type").agg(F.count("o").cast("int").alias("symbol"))
+    kinds = e.select("event_type").distinct()  # one row for each symbol of the alphabet
+    kinds = kinds.select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1).alias("symbol"))
     line = Window.partitionBy("user_id").orderBy("event_id")
-    return e.join(F.broadcast(kinds), "event_type").select("user_id", (F.row_number().over(line) - 1).alias("ord"), "symbol", "value")
+    return e.join(kinds, "event_type").select("user_id", (F.row_number().over(line) - 1).alias("ord"), "symbol", "value")
 
 
 def dwt53_block(s, d):
@@ -279,13 +285,25 @@ def best_mode(s, d):
     return prediction.best_mode(_modes(s, d), K)
 
 
+SHIFTS = (-2, -1, 0, 1, 2)
+
+
 def _pairs(s, d) -> DataFrame:
-    """Neighbouring views under all shifts of -2..2 along x: SAD of the overlapping samples."""
-    v = views(s, d)
-    shift = F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("shift")
-    moved = v.select((F.col("view") - 1).alias("view"), "x", "y", F.col("v").alias("o"), shift)
-    moved = moved.withColumn("x", prediction.shifted(F.col("x"), F.col("shift"), 8))
-    return v.join(moved, ["view", "x", "y"]).groupBy("shift").agg(statistics.sad(F.col("v"), F.col("o")).alias("sad"))
+    """(field, axis, shift, sad): neighbouring views along each axis, the second rolled by each shift."""
+    views, cells = light_fields(s, d), F.sequence(F.lit(0), F.lit(63))
+
+    def error(axis: str, shift: int):
+        x, y = (lambda i: i % 8), (lambda i: F.shiftright(i, 3))
+        there = (lambda i: F.pmod(x(i) + shift, F.lit(8)) + 8 * y(i)) if axis == "x" else (lambda i: x(i) + 8 * F.pmod(y(i) + shift, F.lit(8)))
+        terms = F.transform(cells, lambda i: F.abs(F.get("v", i) - F.get("o", there(i).cast("int"))))
+        return F.struct(F.lit(shift).alias("shift"), F.aggregate(terms, F.lit(0).cast("long"), lambda t, e: t + e).alias("sad"))
+
+    out = []
+    for axis, along, other in (("x", "a", "b"), ("y", "b", "a")):
+        after = views.select("field", (F.col(along) - 1).alias(along), other, F.col("v").alias("o"))
+        both = views.join(after, ["field", "a", "b"])
+        out.append(both.select("field", F.lit(axis).alias("axis"), F.inline(F.array(*(error(axis, n) for n in SHIFTS)))))
+    return out[0].unionAll(out[1]).groupBy("field", "axis", "shift").agg(F.sum("sad").alias("sad"))
 
 
 def sad_views(s, d):
@@ -293,13 +311,18 @@ def sad_views(s, d):
 
 
 def best_shift_grid(s, d):
-    return _pairs(s, d).agg(F.min(F.struct("sad", "shift")).alias("m")).select("m.shift", "m.sad")
+    """The shift of least error along each axis over the whole grid of shifts; of equal ones the smallest."""
+    best = _pairs(s, d).groupBy("field", "axis").agg(F.min(F.struct("sad", "shift")).alias("m"))
+    return best.select("field", "axis", "m.shift", "m.sad")
 
 
 def shift_image(s, d):
-    v = views(s, d)
-    step = prediction.shift_of_view(F.col("view"), 10, 1)
-    return v.select("view", prediction.shifted(F.col("x"), step, 8).alias("x"), prediction.shifted(F.col("y"), -step, 8).alias("y"), "v")
+    """Each view rolled by its distance from the middle view, to the other side along y."""
+    cells = light_fields(s, d).select("field", "a", "b", F.posexplode("v").alias("i", "v"))
+    cells = blocks.shaped(cells, XY)
+    x = prediction.shifted(F.col("x"), prediction.shift_of_view(F.col("a"), SIDE, 1), 8)
+    y = prediction.shifted(F.col("y"), prediction.shift_of_view(F.col("b"), SIDE, -1), 8)
+    return cells.select("field", "a", "b", x.alias("x"), y.alias("y"), "v")
 
 
 def psnr(s, d):
@@ -312,10 +335,89 @@ def view_uniformity(s, d):
     return statistics.uniform(block(s, d).groupBy("vec_id").agg(F.max("x").alias("w"), F.max("y").alias("h")), "w", "h")
 
 
+def base_tables(s, d):
+    return tables.base_tables(s)
+
+
 def quality_scale(s, d):
-    base = blocks.shaped(s.range(64).select(F.col("id").cast("int").alias("i")), XY)
-    entry = 16 + 4 * F.col("x") + 3 * F.col("y")
-    return base.select("x", "y", *(blocks.clamped(color.quality_scaled(entry, q), 1, 255).cast("int").alias(f"q{q}") for q in (10, 50, 90)))
+    scaled = (blocks.clamped(color.quality_scaled(F.col("q"), q), 1, 255).cast("int").alias(f"q{q}") for q in (10, 50, 90))
+    return tables.base_tables(s).select("name", "x", "y", *scaled)
+
+
+def table_nearest(s, d):
+    """Each block as a table of 8 by 8 entries, made 11 by 6."""
+    return tables.scaled_nearest(block(s, d), {"x": (8, 11), "y": (8, 6)}).select("vec_id", "x", "y", "v")
+
+
+def table_by_dct(s, d):
+    """Base tables made 11 by 6 by their coefficients."""
+    return tables.scaled_by_dct(tables.base_tables(s), ["name"], {"x": (8, 11), "y": (8, 6)}, "q")
+
+
+def table_bytes(s, d):
+    """Blocks as tables of one byte an entry and of the bytes that an index into 300 places needs."""
+    q = F.transform("embedding", lambda e: F.pmod(F.round(e.cast("double") * 256).cast("int"), F.lit(256)))
+    wide = tables.entry_bytes(300)
+    packed = table(s, d, "embeddings").select("vec_id", tables.packed(q).alias("one"), tables.packed(q, wide).alias("two"))
+    back = (tables.unpacked(F.col(n), w) for n, w in (("one", 1), ("two", wide)))
+    one, two = back
+    return packed.select("vec_id", F.hex("one").alias("data"), F.octet_length("two").alias("n_bytes"), (one == two).alias("same"))
+
+
+def traversal_quant(s, d):
+    cells = scans.traversal(tables.base_tables(s), ["name"], -F.col("q"), F.col("x") + 8 * F.col("y"))
+    return cells.select("name", "x", "y", "rank")
+
+
+def traversal_diagonals(s, d):
+    return _traversal(s, d, -scans.diagonal(["x", "y"]))
+
+
+def tile_pad_2d(s, d):
+    return blocks.tiles(block(s, d), XY, {"x": 3, "y": 5})
+
+
+def tile_crop_4d(s, d):
+    step = {"x": 3, "y": 3, "u": 2, "w": 3}
+    return blocks.joined_tiles(blocks.tiles(block4(s, d), XYUW, step), XYUW, step).select("vec_id", *XYUW, "v")
+
+
+def _odd(s, d) -> DataFrame:
+    return tables.scaled_nearest(block(s, d), {"x": (8, 9), "y": (8, 9)})
+
+
+def dwt53_odd(s, d):
+    """Blocks of odd lengths: one more low-pass sample than high-pass samples."""
+    return transforms.dwt53(_odd(s, d), K, {"x": 9, "y": 9}).select("vec_id", "x", "y", "v")
+
+
+def dwt53_odd_roundtrip(s, d):
+    sizes = {"x": 9, "y": 9}
+    back = transforms.idwt53(transforms.dwt53(_odd(s, d), K, sizes), K, sizes)
+    return back.select("vec_id", "x", "y", "v")
+
+
+def golomb_codes(s, d):
+    """Levels in scan order as exponential Golomb codes, unary codes with an escape, and Rice codes."""
+    a = F.abs("v")
+    return scanned(s, d).select(
+        "vec_id", "rank", binarization.exp_golomb(a, 0).alias("eg0"), binarization.exp_golomb(a, 2).alias("eg2"),
+        binarization.ueg0(a, 3).alias("ueg0"), binarization.rice(a, F.lit(2)).alias("rice2"),
+    )
+
+
+def golomb_values(s, d):
+    """Levels read back from their codes."""
+    b = binarization
+    codes = golomb_codes(s, d)
+    return codes.select("vec_id", "rank", b.exp_golomb_value(F.col("eg0"), 0).alias("eg0"), b.exp_golomb_value(F.col("eg2"), 2).alias("eg2"), b.ueg0_value(F.col("ueg0"), 3).alias("ueg0"))
+
+
+def adaptive_rice(s, d):
+    """Rice codes whose parameter follows the levels of a block."""
+    levels = F.transform("embedding", lambda e: F.abs(F.shiftright(F.round(e.cast("double") * 256).cast("int"), 4)))
+    codes = binarization.adaptive_rice(levels)
+    return table(s, d, "embeddings").select("vec_id", F.posexplode(codes).alias("i", "code"))
 
 
 def diag_average(s, d):
@@ -325,7 +427,7 @@ def diag_average(s, d):
 
 def table_copy(s, d):
     """A one-dimensional table spread over two dimensions."""
-    line = signal(s, d).where("i < 8").withColumnRenamed("i", "x")
+    line = signal(s, d).withColumnRenamed("i", "x")
     return line.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "v")
 
 
@@ -350,10 +452,29 @@ def mtf_base(s, d):
     return coding.move_to_front(sequence(s, d).select("user_id", "ord", "symbol"), ["user_id"], "ord", "symbol")
 
 
+def mtf_rules(s, d):
+    """Sequences coded and read back under each update rule."""
+    rows = sequence(s, d).select("user_id", "ord", "symbol")
+    out = None
+    for rule in coding.RULES:
+        there = coding.move_to_front(rows, ["user_id"], "ord", "symbol", rule)
+        back = coding.move_from_front(there, ["user_id"], "ord", "place", rule).withColumn("rule", F.lit(rule))
+        out = back if out is None else out.unionAll(back)
+    return out.select("user_id", "rule", "ord", "symbol")
+
+
 def bwt_short(s, d):
     return sequences.rotations(table(s, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "last", "primary")
 
 
+def bwt_inverse(s, d):
+    return bwt_short(s, d).select("p_partkey", sequences.restored(F.col("last"), F.col("primary")).alias("p_name"))
+
+
+def suffix_array(s, d):
+    return sequences.suffix_array(table(s, d, "part").select("p_partkey", "p_name"), ["p_partkey"], "p_name")
+
+
 def _lengths(s, d) -> DataFrame:
     w = symbol_weights(s, d)
     n = F.count("*").over(Window.partitionBy("user_id"))
@@ -388,7 +509,8 @@ NAMES = (
     "view_address dct_8x8 idct_8x8 dct_4d dct_energy dwt53_block idwt53_block dwt53_roundtrip diag_scan coding_order zigzag_2d traversal_by_ref "
     "traversal_radius traversal_hyperboloid diag_occupancy last_diag neighbour_ctx zero_balance coef_symbols diag_flags lowpass_121 dc_predict planar directional residual sse best_mode "
     "sad_views best_shift_grid shift_image psnr view_uniformity quality_scale diag_average table_copy run_length symbol_weights bucket_bounds "
-    "suffix_types mtf_base bwt_short canonical_codes file_mask arith_roundtrip huffman_cost lossless_2d"
+    "suffix_types mtf_base mtf_rules bwt_short bwt_inverse suffix_array base_tables table_nearest table_by_dct table_bytes traversal_quant traversal_diagonals "
+    "tile_pad_2d tile_crop_4d dwt53_odd dwt53_odd_roundtrip golomb_codes golomb_values adaptive_rice canonical_codes file_mask arith_roundtrip huffman_cost lossless_2d"
 ).split()
 
 

@@ -1,13 +1,15 @@
 """Signal queries against DuckDB, and coders by round trip."""
 
 import random
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from mosaiq.functions import coding, masks
-from mosaiq.operators import prediction
+from mosaiq.operators import prediction, tables
 from mosaiq.plans import oracles, queries
 from mosaiq.sources import containers, ppm
 
@@ -86,3 +88,36 @@ def test_container():
     assert containers.parsed(data) == (h, b"xyz")
     with pytest.raises(ValueError):
         containers.parsed(b"other")
+
+
+@pytest.mark.parametrize("rule", list(coding.RULES))
+def test_rules_come_back(rule):
+    r = random.Random(2)
+    for _ in range(50):
+        symbols = [r.randrange(r.choice([2, 9])) for _ in range(r.randrange(60))]
+        assert coding.symbols_of(coding.places_of(symbols, coding.RULES[rule]()), coding.RULES[rule]()) == symbols
+
+
+def test_rules_by_hand():
+    places = {rule: coding.places_of([2, 2, 1, 2], coding.RULES[rule]()) for rule in coding.RULES}
+    assert places == {
+        "front": [2, 0, 2, 1], "m1ff": [2, 1, 2, 0], "m1ff2": [2, 1, 2, 0],
+        "sticky": [2, 1, 2, 2], "steps": [2, 0, 2, 1], "count": [2, 2, 1, 2],
+    }
+
+
+def test_entry_bytes():
+    assert [tables.entry_bytes(n) for n in (1, 256, 257, 65536, 65537, 2**32 + 1)] == [1, 1, 2, 2, 4, 8]
+
+
+def test_transforms_shuffle_once(spark):
+    for name in ("dwt53_block", "dct_4d", "lowpass_121", "idwt53_block"):
+        plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 1, name
+
+
+def test_queries_without_the_subpackage():
+    source = Path(queries.__file__).parents[2] / "__spark_entry__.py"
+    code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if 'llm' in n else f(n, *a); import __spark_entry__ as e; print(any(n.startswith('op') for n in e.queries()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=source.parent, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == ["False", "False"]
