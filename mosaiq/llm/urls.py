@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import UPPER
@@ -41,7 +41,10 @@ def word_rule(word: str, verdict: str = "block") -> UrlRule:
 LISTED = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 # The method's own words for hosts that no listed rule decides.
 WORDS = ["spam-farm", "cheap-pills", "casino", "free-money", "click-bait", "malware", "phishing", "porn", "torrent", "warez", "xxx"]
+#: More rules than this go into a table instead of the plan.
 MOST_RULES = 10_000
+#: Parts that rules without any token are dealt to.
+PARTS = 64
 
 
 def default_rules() -> list[UrlRule]:
@@ -72,17 +75,51 @@ def rarest(pages: DataFrame, rules: list[UrlRule], place: str) -> dict[str, str]
     return {r.name: min(r.tokens, key=lambda t: (seen.get(t, 0), t)) for r in rules if r.tokens}
 
 
-def filtered(pages: DataFrame, rules: list[UrlRule] | None = None, url: str = "url") -> DataFrame:
+def rule_table(spark: SparkSession, rules: list[UrlRule]) -> DataFrame:
+    """(name, verdict, pattern, tokens, listed), as ``filtered`` takes them."""
+    schema = "name string, verdict string, pattern string, tokens array<string>, listed boolean"
+    return spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens), r.listed) for r in rules], schema)
+
+
+def _joined(pages: DataFrame, rules: DataFrame, url: str) -> DataFrame:
+    """The same verdicts with the index as a table. Distinct places are judged once. Rules without
+    a token meet every place by a key of ``PARTS`` parts, so no key has all places."""
+    df = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    df = df.withColumn("__place", F.concat("host", "path"))
+    part = F.concat(F.lit("~"), F.pmod(F.xxhash64("__place"), F.lit(PARTS)))
+    places = df.select("__place").distinct()
+    tokens = places.select("__place", F.explode(F.array_append(_tokens(F.col("__place")), part)).alias("t"))
+    rule = F.struct("listed", F.length("name").alias("n"), "name", "verdict", "pattern").alias("rule")
+    known = rules.select(rule, F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("tokens"))
+    named = known.select("rule", F.explode("tokens").alias("t"))
+    counts = tokens.join(named.select("t").distinct(), "t", "leftsemi").groupBy("t").agg(F.count("*").alias("seen"))
+    filed = named.join(counts, "t", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "t"))["t"].alias("t"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.concat(F.lit("~"), k))
+    filed = filed.unionByName(known.where(F.size("tokens") == 0).select("rule", F.explode(parts).alias("t")))
+    hits = tokens.join(filed, "t").where(F.call_function("rlike", F.col("__place"), F.col("rule.pattern")))
+    best = hits.groupBy("__place").agg(F.max("rule").alias("__best"))
+    return (
+        df.join(best, "__place", "left")
+        .withColumn("rule", F.when(F.col("__best.listed"), F.col("__best.name")))
+        .withColumn("verdict", F.coalesce(F.col("__best.verdict"), F.lit("allow")))
+        .select(*pages.columns, *(c for c in ("host", "path", "rule", "verdict") if c not in pages.columns))
+    )
+
+
+def filtered(pages: DataFrame, rules: list[UrlRule] | DataFrame | None = None, url: str = "url") -> DataFrame:
     """Add host, path, rule (the listed rule that decided, else null) and verdict.
 
     A null URL or one without ``://`` has an empty host and path and is allowed, as is every
     URL that no rule matches. Listed rules go before the others; of several, the longest name
-    wins, then the first by name. Rows are judged one by one: no shuffle, repeated rows and
-    further columns pass through. At most ``MOST_RULES`` rules, as they travel in the plan.
+    wins, then the last by name. Rows are judged one by one, however long a URL is: no shuffle,
+    repeated rows and further columns pass through. Rules may come as a table (see
+    ``rule_table``); that and more than ``MOST_RULES`` rules are joined instead.
     """
     rules = default_rules() if rules is None else rules
+    if isinstance(rules, DataFrame):
+        return _joined(pages, rules, url)
     if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} travel in the plan")
+        return _joined(pages, rule_table(pages.sparkSession, rules), url)
     df = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     df = df.withColumn("__place", F.concat("host", "path"))
     filed = rarest(df.select("__place"), rules, "__place")

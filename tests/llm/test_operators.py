@@ -574,3 +574,34 @@ def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
                 y = y[: len(x)] ^ y[len(x) :]
             bits = sum((int(v) & (2**64 - 1)).bit_count() for v in x ^ y)
             assert bits <= len(np.setxor1d(a, b))
+
+
+def test_url_rules_as_a_table(spark, monkeypatch):
+    """Both ways of filing rules give what running every rule on every URL gives."""
+    r = random.Random(9)
+    hosts = ["a.net", "www.a.net", "b.net", "x.org", "spam-farm.com", "c.example.com", "net", "EXAMPLE.net", "other.com"]
+    found = [f"http://{r.choice(hosts)}/{r.choice(['en/', 'de/', 'fr/', ''])}{k}?q=://z" for k in range(60)]
+    found += [found[0], found[0], None, "", "no scheme", "http://", "http://a.net", "http://b.net/" + "en/" * 5000]
+    rules = [*urls.default_rules(), urls.UrlRule("digit", "block", "[0-9]$", ()), urls.host_rule("a.net/en/", "block"), urls.host_rule("b.net/en/", "allow")]
+    pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(found)], "page_id long, url string, host string, verdict string")
+
+    def judged(u):
+        place = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.match("[^/?#]*", rest)[0]
+            place = host.lower() + re.match("[^?#]*", rest[len(host) :])[0]
+        hits = [x for x in rules if re.search(x.pattern, place)]
+        top = max(hits, key=lambda x: (x.listed, len(x.name), x.name), default=None)
+        return (top.name if top and top.listed else None, top.verdict if top else "allow")
+
+    want = sorted((k, *judged(u)) for k, u in enumerate(found))
+    want = sorted(want, key=repr)
+    rows = lambda df: sorted(((x["page_id"], x["rule"], x["verdict"]) for x in df.collect()), key=repr)
+    assert rows(urls.filtered(pages, rules)) == want
+    monkeypatch.setattr(urls, "MOST_RULES", 3)
+    table = urls.filtered(pages, rules)
+    assert rows(table) == want and sorted(table.columns) == sorted([*pages.columns, "path", "rule"])
+    assert urls.filtered(pages.limit(0), rules).count() == 0
+    empty = urls.filtered(pages, urls.rule_table(spark, []))
+    assert {(x["rule"], x["verdict"]) for x in empty.collect()} == {(None, "allow")}
