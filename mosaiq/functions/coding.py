@@ -164,10 +164,12 @@ class Decoder:
 
 
 class LevelModel:
-    """Contexts of a block's levels: significance, above 1, above 2 and the rest in unary."""
+    """Contexts of a block's levels: significance, above 1, above 2 and the rest as an exponential Golomb
+    code, its prefix with a context for each place, its suffix plain."""
 
     def __init__(self) -> None:
-        self.parts = [Context() for _ in range(4)]
+        self.parts = [Context() for _ in range(3)]
+        self.prefix = [Context() for _ in range(32)]
 
     def encode(self, coder: Encoder, level: int) -> None:
         size = abs(level)
@@ -176,9 +178,13 @@ class LevelModel:
             if size <= k:
                 break
         else:
-            for _ in range(size - 3):
-                coder.bit(1, self.parts[3])
-            coder.bit(0, self.parts[3])
+            rest = size - 2
+            n = rest.bit_length() - 1
+            for k in range(n):
+                coder.bit(1, self.prefix[k])
+            coder.bit(0, self.prefix[n])
+            for k in reversed(range(n)):
+                coder.plain(rest >> k & 1)
         if size:
             coder.plain(int(level < 0))
 
@@ -187,8 +193,12 @@ class LevelModel:
         while size < 3 and coder.bit(self.parts[size]):
             size += 1
         if size == 3:
-            while coder.bit(self.parts[3]):
-                size += 1
+            n, rest = 0, 1
+            while coder.bit(self.prefix[n]):
+                n += 1
+            for _ in range(n):
+                rest = rest * 2 + coder.plain()
+            size = rest + 2
         return -size if size and coder.plain() else size
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.functions import coding
+from mosaiq.functions import codec, coding
 from mosaiq.functions.masks import filled_mask
 from mosaiq.operators import binarization, blocks, color, prediction, scans, sequences, statistics, tables, transforms
+from mosaiq.sources import containers
 
 XY, K = {"x": 8, "y": 8}, ["vec_id"]
 XYUW = {"x": 4, "y": 4, "u": 2, "w": 2}
@@ -504,13 +505,36 @@ def lossless_2d(s, d):
     return coding.wavelet_roundtrip(block(s, d), K, XY)
 
 
+def _coloured(df: DataFrame) -> DataFrame:
+    """Samples of signals as colours."""
+    v = F.col("v")
+    parts = (v.bitwiseAND(255).alias("r"), F.shiftright(v, 2).bitwiseAND(255).alias("g"), (3 * v).bitwiseAND(255).alias("b"))
+    return df.select(*(c for c in df.columns if c != "v"), *parts)
+
+
+def _recoded(px: DataFrame, sizes: dict[str, int], step: dict[str, int]) -> DataFrame:
+    files = codec.encoded(px, K, sizes, step)
+    head = containers.Header(f"{len(sizes)}D", tuple(sizes.values()), tuple(step.values()), 8, 0, False)
+    return codec.decoded(files, K, head)
+
+
+def image_codec(s, d):
+    """Each embedding as a colour image, coded into a file without loss and decoded; blocks of 3 by 5 don't divide it."""
+    return _recoded(_coloured(block(s, d)), XY, {"x": 3, "y": 5})
+
+
+def image_codec_4d(s, d):
+    """Each embedding as a light field of 2 by 2 views, coded and decoded."""
+    return _recoded(_coloured(block4(s, d)), XYUW, {"x": 3, "y": 4, "u": 2, "w": 2})
+
+
 NAMES = (
     "ycbcr_fwd ycbcr_inv ycocg_fwd ycocg_inv rct_fwd rct_roundtrip bit_depth quant_dct quant_dwt tile_pad tile_crop block_grid linear_index "
     "view_address dct_8x8 idct_8x8 dct_4d dct_energy dwt53_block idwt53_block dwt53_roundtrip diag_scan coding_order zigzag_2d traversal_by_ref "
     "traversal_radius traversal_hyperboloid diag_occupancy last_diag neighbour_ctx zero_balance coef_symbols diag_flags lowpass_121 dc_predict planar directional residual sse best_mode "
     "sad_views best_shift_grid shift_image psnr view_uniformity quality_scale diag_average table_copy run_length symbol_weights bucket_bounds "
     "suffix_types mtf_base mtf_rules bwt_short bwt_inverse suffix_array base_tables table_nearest table_by_dct table_bytes traversal_quant traversal_diagonals "
-    "tile_pad_2d tile_crop_4d dwt53_odd dwt53_odd_roundtrip golomb_codes golomb_values adaptive_rice canonical_codes file_mask arith_roundtrip huffman_cost lossless_2d"
+    "tile_pad_2d tile_crop_4d dwt53_odd dwt53_odd_roundtrip golomb_codes golomb_values adaptive_rice canonical_codes file_mask arith_roundtrip huffman_cost lossless_2d image_codec image_codec_4d"
 ).split()
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.sources.containers import placed
+
 _GAP = rb"(?:\s|#[^\n]*\n)+"
 _HEADER = re.compile(rb"P6" + _GAP + rb"(\d+)" + _GAP + rb"(\d+)" + _GAP + rb"(\d+)\s")
 
@@ -72,16 +74,8 @@ def write(px: DataFrame, width: int, height: int, maxval: int, folder: str) -> N
     executors share. A file appears whole or not at all, so that a repeated task does no harm."""
 
     def put(part: pd.DataFrame) -> pd.DataFrame:
-        import os
-        import uuid
-
         part = part.sort_values(["y", "x"])
-        os.makedirs(folder, exist_ok=True)
-        name = os.path.join(folder, part["path"].iloc[0].rpartition("/")[2])
-        temporary = f"{name}.{uuid.uuid4().hex}"
-        with open(temporary, "wb") as f:
-            f.write(packed(width, height, maxval, part[["r", "g", "b"]].to_numpy().ravel()))
-        os.replace(temporary, name)
-        return pd.DataFrame({"path": [name]})
+        data = packed(width, height, maxval, part[["r", "g", "b"]].to_numpy().ravel())
+        return pd.DataFrame({"path": [placed(folder, part["path"].iloc[0], data)]})
 
     px.groupBy("path").applyInPandas(put, "path string").count()

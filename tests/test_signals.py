@@ -8,7 +8,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from mosaiq.functions import coding, masks
+from mosaiq.__main__ import main
+from mosaiq.functions import codec, coding, masks
 from mosaiq.operators import prediction, tables
 from mosaiq.plans import oracles, queries
 from mosaiq.sources import containers, ppm
@@ -121,3 +122,39 @@ def test_queries_without_the_subpackage():
     code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if 'llm' in n else f(n, *a); import __spark_entry__ as e; print(any(n.startswith('op') for n in e.queries()), 'pipeline' in e.queries())"
     out = subprocess.run([sys.executable, "-c", code], cwd=source.parent, capture_output=True, text=True, check=True)
     assert out.stdout.split() == ["False", "False"]
+
+
+@pytest.mark.parametrize("discarded", [0, 2])
+def test_commands(spark, tmp_path, discarded):
+    r = random.Random(discarded)
+    sizes, top = (19, 13), 255
+    made = {f"{n}.ppm": [min(top, max(0, int(r.gauss(90 + 2 * i, 30)))) for i in range(3)] * (sizes[0] * sizes[1]) for n in "ab"}
+    made["b.ppm"] = [r.randrange(top + 1) for _ in made["b.ppm"]]
+    for name, samples in made.items():
+        (tmp_path / name).write_bytes(ppm.packed(*sizes, top, samples))
+    assert main(["compress", "-i", f"{tmp_path}/*.ppm", "-o", f"{tmp_path}/coded", "-d", str(discarded)]) == 0
+    assert sorted(p.name for p in (tmp_path / "coded").iterdir()) == ["a.lfif", "b.lfif"]
+    assert main(["decompress", "-i", f"{tmp_path}/coded/*.lfif", "-o", f"{tmp_path}/back"]) == 0
+    for name, samples in made.items():
+        back = (tmp_path / "back" / name).read_bytes()
+        w, h, maxval, at = ppm.header(back)
+        assert (w, h, maxval) == (*sizes, top)
+        off = max(abs(a - b) for a, b in zip(back[at:], samples, strict=True))
+        assert off == 0 if discarded == 0 else 0 < off < 64
+
+
+def test_commands_refuse(spark, tmp_path):
+    (tmp_path / "a.ppm").write_bytes(ppm.packed(2, 1, 255, range(6)))
+    (tmp_path / "b.ppm").write_bytes(ppm.packed(1, 2, 255, range(6)))
+    (tmp_path / "c.lfif").write_bytes(b"something else")
+    assert main(["compress", "-i", f"{tmp_path}/*.ppm", "-o", f"{tmp_path}/out"]) == 1
+    assert main(["compress", "-i", f"{tmp_path}/*.none", "-o", f"{tmp_path}/out"]) == 1
+    assert main(["decompress", "-i", f"{tmp_path}/*.lfif", "-o", f"{tmp_path}/out"]) == 1
+    assert main(["compress", "-i", "x"]) == 2 and not (tmp_path / "out").exists()
+
+
+def test_images_that_lack_pixels(spark):
+    px = spark.createDataFrame([(1, 0, 0, 1, 2, 3)], "k int, x int, y int, r int, g int, b int")
+    with pytest.raises(Exception, match="levels"):
+        codec.encoded(px, ["k"], {"x": 2, "y": 1}, {"x": 2, "y": 1}).collect()
+    assert codec.header_of(codec.encoded(px.limit(0), ["k"], {"x": 2, "y": 1}, {"x": 2, "y": 1})) is None
