@@ -155,8 +155,12 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", similarity: f
 
 
 def without_matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that copy no item; rows with a null doc_id stay."""
+    """The documents that copy no item; rows with a null doc_id stay. Ids that are proven few are broadcast,
+    so that texts are not shuffled; more are joined."""
     bad = matches(docs, items, similarity=similarity).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = stash(bad, "benchmark-copies")
+    if bad.limit(MOST_IDS + 1).count() <= MOST_IDS:
+        bad = F.broadcast(bad)
     return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
 
 
