@@ -179,6 +179,8 @@ SELECT p_partkey, string_agg(substr(r, length(r), 1), '' ORDER BY n) AS last, CA
 c AS (SELECT user_id, symbol, length, coalesce(sum(pow(2, -length)) OVER (PARTITION BY user_id ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM l WHERE length > 0)
 SELECT user_id, symbol, length, lpad(to_binary(CAST(used * pow(2, length) AS BIGINT)), length, '0') AS code FROM c""",
     "file_mask": "SELECT n_nationkey, 'view_0' || n_nationkey // 10 || '/part_' || n_nationkey % 10 || '.ppm' AS name FROM nation",
+    "arith_wrong": f"WITH {BLK} SELECT vec_id, CAST(0 AS BIGINT) AS wrong FROM b GROUP BY vec_id",
+    "lossless_wrong": f"WITH {BLK} SELECT vec_id, CAST(0 AS BIGINT) AS wrong FROM b GROUP BY vec_id",
     "image_codec": f"WITH {BLK} SELECT vec_id, x, y, v & 255 AS r, (v >> 2) & 255 AS g, (3 * v) & 255 AS b FROM b",
     "image_codec_4d": f"WITH {BLK4} SELECT vec_id, x, y, u, w, v & 255 AS r, (v >> 2) & 255 AS g, (3 * v) & 255 AS b FROM b",
 }

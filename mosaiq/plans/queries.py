@@ -505,6 +505,15 @@ def lossless_2d(s, d):
     return coding.wavelet_roundtrip(block(s, d), K, XY)
 
 
+def arith_wrong(s, d):
+    """Levels that the arithmetic coder does not give back."""
+    return arith_roundtrip(s, d).select("vec_id", "wrong")
+
+
+def lossless_wrong(s, d):
+    return lossless_2d(s, d).select("vec_id", "wrong")
+
+
 def _coloured(df: DataFrame) -> DataFrame:
     """Samples of signals as colours."""
     v = F.col("v")
@@ -534,7 +543,7 @@ NAMES = (
     "traversal_radius traversal_hyperboloid diag_occupancy last_diag neighbour_ctx zero_balance coef_symbols diag_flags lowpass_121 dc_predict planar directional residual sse best_mode "
     "sad_views best_shift_grid shift_image psnr view_uniformity quality_scale diag_average table_copy run_length symbol_weights bucket_bounds "
     "suffix_types mtf_base mtf_rules bwt_short bwt_inverse suffix_array base_tables table_nearest table_by_dct table_bytes traversal_quant traversal_diagonals "
-    "tile_pad_2d tile_crop_4d dwt53_odd dwt53_odd_roundtrip golomb_codes golomb_values adaptive_rice canonical_codes file_mask arith_roundtrip huffman_cost lossless_2d image_codec image_codec_4d"
+    "tile_pad_2d tile_crop_4d dwt53_odd dwt53_odd_roundtrip golomb_codes golomb_values adaptive_rice canonical_codes file_mask arith_roundtrip huffman_cost lossless_2d arith_wrong lossless_wrong image_codec image_codec_4d"
 ).split()
 
 
