@@ -143,7 +143,7 @@ def suffix_array(packed: np.ndarray, reach: int) -> np.ndarray:
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(first)
         key = rank << 32
-        key[: n - k] |= rank[k:]
+        key[: max(n - k, 0)] |= rank[k:]  # the last k suffixes have none k places behind
         order, k = np.argsort(key, kind="stable"), 2 * k
     return order
 

@@ -418,6 +418,24 @@ def test_pieces_match_the_library(spark, odd, none):
     assert pieces.encoded(none).count() == 0
 
 
+def test_pieces_of_few_new_words(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    model = pieces.Pieces.load(pieces.MODEL)
+    # A batch may hold one new word only, shorter than the code points that are compared.
+    texts = ["q", "日", "it", "xqz", "lamp", "these", "window", "b\nq", "  q", "\n", " ", ""]
+    for t in texts:
+        assert pieces.Encoder(model).encode([t]) == [sp.encode(t)], t
+    enc = pieces.Encoder(model)
+    assert [enc.encode([t])[0] for t in texts] == sp.encode(texts)
+    monkeypatch.setattr(pieces, "BATCH", 1)
+    monkeypatch.setattr(pieces, "PART", 8)
+    monkeypatch.setattr(pieces, "REMEMBERED", 4)
+    texts += [passage(k, 1 + k % 9) for k in range(40)]
+    assert pieces.Encoder(model).encode(texts) == sp.encode(texts)
+
+
 def test_sharding(spark, odd, none):
     rows = [(k, passage(k, k % 50)) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
